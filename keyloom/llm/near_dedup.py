@@ -202,7 +202,7 @@ def cluster(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str =
             joined = joined.select(F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
             over = components(joined.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")))
             every = found.unionByName(more.selectExpr("explode(array(a, b)) as id").distinct().join(found, "id", "left_anti").selectExpr("id", "id as component"))
-            found = store.materialize(every.join(over.withColumnsRenamed({"id": "component", "component": "top"}), "component", "left").select("id", F.coalesce("top", "component").alias("component")), "components")
+            found = store.materialize(every.join(over.select(F.col("component").alias("top"), F.col("id").alias("component")), "component", "left").select("id", F.coalesce("top", "component").alias("component")), "components")
     classes = groups.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(*prints, F.coalesce("component", "rep").alias("component_id"))
     plain = signs.select("doc_id", *prints)
     out = plain.join(classes, prints, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
