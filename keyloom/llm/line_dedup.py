@@ -30,7 +30,7 @@ HASH_BITS = 57
 
 
 def words(line: Column) -> Column:
-    return F.filter(F.split(line, "[ \\t\\x0B\\f\\r]+"), lambda x: x != "")
+    return F.split(F.btrim(line, F.lit(" \t\x0b\f\r")), "[ \\t\\x0B\\f\\r]+")
 
 
 def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -79,15 +79,32 @@ def prefixes(lines: DataFrame, percent: int) -> DataFrame:
 def similar_lines(lines: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, pos) of the lines that have an earlier line as similar. lines: doc_id, pos, line, without equal texts."""
     prefix = prefixes(lines, percent)
-    a, b = prefix.alias("a"), prefix.alias("b")
+    # each token's earliest line first: one candidate a token settles most lines of a large group
+    heads = prefix.groupBy("token").agg(F.min(F.struct("doc_id", "pos", "n", "i")).alias("h"), F.count("*").alias("lines")).where("lines > 1")
+    heads = store.materialize(heads.select("token", "h.*"), "heads")
+    settled = store.materialize(verified(candidates(heads, prefix, percent), lines, percent), "settled")
+    # the other lines meet every earlier line that shares a token
+    shared = prefix.join(heads.select("token"), "token", "left_semi")
+    shared = store.materialize(shared, "shared")
+    open_lines = shared.join(settled, ["doc_id", "pos"], "left_anti")
+    rest = verified(candidates(shared, open_lines, percent), lines, percent)
+    return settled.unionByName(rest).distinct()
+
+
+def candidates(a: DataFrame, b: DataFrame, percent: int) -> DataFrame:
+    """Pairs of prefix rows that share a token and pass the order, length and positional filters."""
+    a, b = a.alias("a"), b.alias("b")
     earlier = (F.col("a.doc_id") < F.col("b.doc_id")) | ((F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.pos") < F.col("b.pos")))
     sizes = (100 * F.col("a.n") >= percent * F.col("b.n")) & (100 * F.col("b.n") >= percent * F.col("a.n"))
     # |x & y| >= t / (1 + t) * (|x| + |y|); at the first common token that one and the shorter rest are left
     rest = F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i"))
     positions = (100 + percent) * rest >= percent * (F.col("a.n") + F.col("b.n"))
     pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & earlier & sizes & positions)
-    pairs = pairs.select(*[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("doc_id", "pos")]).distinct()
-    pairs = store.materialize(pairs, "pairs")
+    return store.materialize(pairs.select(*[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("doc_id", "pos")]).distinct(), "pairs")
+
+
+def verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, pos) of the later lines of the pairs that are similar on their whole token sets."""
     for side in "ab":
         names = {"doc_id": f"doc_id_{side}", "pos": f"pos_{side}", "line": f"line_{side}"}
         pairs = pairs.join(lines.select("doc_id", "pos", "line").withColumnsRenamed(names), [f"doc_id_{side}", f"pos_{side}"])
@@ -113,20 +130,20 @@ def kept_lines(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: st
 
 
 def dedup_lines(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the lines that stay, and l_lines and l_removed (lines with words, before and gone)."""
-    names = docs.columns
+    """docs with the lines that stay, and `l_lines` and `l_removed` (lines with words, before and gone; a longer prefix if a column has that one)."""
+    names, p = docs.columns, store.fresh(docs.columns, "l_")
     stay = kept_lines(docs, percent, key, text)
     solid = F.col("line").rlike("[^ \\t\\x0B\\f\\r]").cast("long")
-    texts = stay.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "line")).alias("l"), F.sum(solid).alias("l_kept"))
-    texts = texts.select(F.col("doc_id").alias("l_id"), F.array_join(F.transform(F.sort_array("l"), lambda x: x["line"]), "\n").alias("l_text"), "l_kept")
+    texts = stay.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "line")).alias("l"), F.sum(solid).alias(f"{p}kept"))
+    texts = texts.select(F.col("doc_id").alias(f"{p}id"), F.array_join(F.transform(F.sort_array("l"), lambda x: x["line"]), "\n").alias(f"{p}text"), f"{p}kept")
     counts = F.size(F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^ \\t\\x0B\\f\\r]"))).cast("long")
-    total = docs.select("*", F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(counts).alias("l_lines"))
-    joined = total.join(texts, F.col(key) == F.col("l_id"), "left")
+    total = docs.select("*", F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(counts).alias(f"{p}lines"))
+    joined = total.join(texts, F.col(key) == F.col(f"{p}id"), "left")
     known = F.col(key).isNotNull() & F.col(text).isNotNull()
-    out = joined.withColumns({text: F.when(known, F.coalesce("l_text", F.lit(""))).otherwise(F.col(text)), "l_removed": F.when(known, F.col("l_lines") - F.coalesce("l_kept", F.lit(0).cast("long"))).otherwise(0)})
+    out = joined.withColumns({text: F.when(known, F.coalesce(f"{p}text", F.lit(""))).otherwise(F.col(text)), f"{p}removed": F.when(known, F.col(f"{p}lines") - F.coalesce(f"{p}kept", F.lit(0).cast("long"))).otherwise(0)})
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("l_removed") > 0, F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*names, "l_lines", "l_removed")
+        out = out.withColumn("n_chars", F.when(F.col(f"{p}removed") > 0, F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*names, f"{p}lines", f"{p}removed")
 
 
 def digest(docs: DataFrame, percent: int = 75) -> DataFrame:

@@ -6,10 +6,10 @@
 2. Texts with equal sets become one representative. Within a band bucket every member is
    paired with the bucket's smallest id only; a pair survives if the odd sketches allow the
    similarity, and becomes a link if the full sets confirm it.
-3. Components of those links are found by contraction. In a bucket that still holds several
-   components, the members outside the main one are paired with the rest of the bucket, again
-   through the sketches and the full sets; so no link is lost to the star shape, and a large
-   group of copies never makes all its pairs.
+3. Components of those links are found by alternating stars. Buckets that still hold several
+   components get newly drawn heads for a few rounds; then the members outside a bucket's largest
+   component are paired with the rest of the bucket, again through the sketches and the full
+   sets. So no link is lost to the star shape, and pairs are made only between components.
 
 A pair of similarity 0.75 meets in no band with probability 5e-6. A sketch lets pass
 everything whose estimate is within six standard deviations of the threshold.
@@ -32,6 +32,7 @@ from keyloom.llm import store
 from keyloom.llm.bytetext import column_bytes, mix, shingle_hashes, span_hashes, word_spans
 
 SHINGLE, BANDS, ROWS, BITS = 5, 32, 4, 512
+ROUNDS = 3  # of newly drawn heads before the buckets' rest is compared
 SAMPLES = BANDS * ROWS
 _rng = np.random.default_rng(20240717)
 MULTIPLY = _rng.integers(1, 1 << 63, (SAMPLES, 1), dtype=np.uint64) | np.uint64(1)
@@ -128,36 +129,33 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of every id in the edges (a < b): contraction to each id's smallest neighbour, then pointer jumping."""
+    """(id, component) of every id in the edges (a < b): large and small stars in turn, until nothing changes."""
     edges = store.materialize(edges.select("a", "b").distinct(), "edges")
-    forest = []
-    while not edges.isEmpty():
-        tree = store.materialize(edges.groupBy("b").agg(F.min("a").alias("p")), "tree")
-        forest.append(tree)
-        rest = edges.join(tree, "b").where("a <> p")
-        edges = store.materialize(rest.select(F.least("a", "p").alias("a"), F.greatest("a", "p").alias("b")).distinct(), "edges")
-    if not forest:
-        return edges.selectExpr("b as id", "a as component")
-    # an id may have got a parent in several rounds: it keeps the smallest, which links to the others
-    every = forest[0]
-    for tree in forest[1:]:
-        every = every.unionByName(tree)
-    links = every.groupBy("b").agg(F.min("p").alias("p"))
-    if len(forest) > 1:
-        every, links = store.materialize(every, "every"), store.materialize(links, "links")
-        again = every.join(links.withColumnRenamed("p", "least"), "b").where("p <> least").select(F.col("least").alias("a"), F.col("p").alias("b"))
-        if not again.isEmpty():
-            more = components(again)
-            links = links.join(more.select(F.col("id").alias("p"), "component"), "p", "left").select("b", F.coalesce("component", "p").alias("p"))
-    up = store.materialize(links.select("b", "p"), "up")
+    mark = None
     while True:
-        over = up.select(F.col("b").alias("p"), F.col("p").alias("g"))
-        nxt = store.materialize(up.join(over, "p", "left").select("b", F.coalesce("g", "p").alias("p"), F.col("g").isNotNull().alias("moved")), "up")
-        up = nxt.select("b", "p")
-        if nxt.where("moved").isEmpty():
+        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        least = store.materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = store.materialize(both.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct(), "large")
+        least = store.materialize(large.groupBy("b").agg(F.min("a").alias("m")), "least")
+        small = large.join(least, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
+        edges = store.materialize(small.unionByName(least.select(F.col("m").alias("a"), "b")).distinct(), "edges")
+        before, mark = mark, edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if mark == before:
             break
-    roots = up.select(F.col("p").alias("id"), F.col("p").alias("component")).distinct()
-    return store.materialize(up.select(F.col("b").alias("id"), F.col("p").alias("component")).unionByName(roots).groupBy("id").agg(F.min("component").alias("component")), "components")
+    roots = edges.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct()
+    return store.materialize(edges.select(F.col("b").alias("id"), F.col("a").alias("component")).unionByName(roots), "components")
+
+
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (id, component) after new links (a, b) between them."""
+    if links.isEmpty():
+        return found
+    label = lambda side: found.select(F.col("id").alias(side), F.col("component").alias(f"of_{side}"))
+    joined = links.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("of_a", "a").alias("x"), F.coalesce("of_b", "b").alias("y")).where("x <> y")
+    over = components(joined.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    single = links.selectExpr("explode(array(a, b)) as id").distinct().join(found, "id", "left_anti").selectExpr("id", "id as component")
+    every = found.unionByName(single).join(over.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left")
+    return store.materialize(every.select("id", F.coalesce("top", "component").alias("component")), "components")
 
 
 def cluster(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -183,26 +181,38 @@ def cluster(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str =
     links = store.materialize(confirm(store.materialize(screened(star), "screened"), docs, percent), "linked")
     found = components(links)
 
-    # buckets that still hold several components: members outside the head's component meet the others
-    labelled = members.join(found, "id", "left").select("key", "id", "head", F.coalesce("component", "id").alias("component"))
-    of_head = found.withColumnsRenamed({"id": "head", "component": "main"})
-    labelled = store.materialize(labelled.join(of_head, "head", "left").select("key", "id", "component", F.coalesce("main", "head").alias("main")), "labelled")
-    mixed = store.materialize(labelled.where("component <> main").select("key").distinct(), "mixed")
-    if not mixed.isEmpty():
-        inside = store.materialize(labelled.join(mixed, "key", "left_semi").join(odd, "id"), "inside")
+    def mixed_members(found: DataFrame) -> DataFrame | None:
+        """Members (key, id, component) of buckets that still hold several components; null if there is none."""
+        labelled = members.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        labelled = store.materialize(labelled, "labelled")
+        mixed = labelled.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+        mixed = store.materialize(mixed.select("key"), "mixed")
+        return None if mixed.isEmpty() else store.materialize(labelled.join(mixed, "key"), "inside")
+
+    # heads drawn anew, so that members of a component that don't reach the first head meet others of it: pairs stay linear
+    asked = star
+    for turn in range(ROUNDS):
+        inside = mixed_members(found)
+        if inside is None:
+            break
+        drawn = inside.groupBy("key").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(turn))).alias("h"))
+        drawn = store.materialize(drawn.select("key", F.col("h.id").alias("head"), F.col("h.component").alias("of_head")), "drawn")
+        met = inside.join(drawn, "key").where("component <> of_head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
+        pairs = store.materialize(met.join(asked, ["a", "b"], "left_anti"), "pairs")
+        asked = asked.unionByName(pairs)
+        found = merged(found, store.materialize(confirm(store.materialize(screened(pairs), "screened"), docs, percent), "linked"))
+
+    # what is left is held against the rest of its buckets, so that no link is missed
+    inside = mixed_members(found)
+    if inside is not None:
+        main = inside.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+        inside = store.materialize(inside.join(store.materialize(main, "main"), "key").join(odd, "id"), "inside")
         outside = inside.where("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("component_x"), F.col("odd").alias("odd_a"))
-        # one of two outsiders asks, both never do; heads have been asked by the star
         other = inside.select("key", F.col("id").alias("y"), F.col("component").alias("component_y"), F.col("main").alias("main_y"), F.col("odd").alias("odd_b"))
         met = outside.join(other, "key").where((F.col("component_x") != F.col("component_y")) & ((F.col("component_y") == F.col("main_y")) | (F.col("x") < F.col("y"))) & (differing <= most))
         pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        pairs = store.materialize(pairs.join(star, ["a", "b"], "left_anti"), "pairs")
-        more = store.materialize(confirm(pairs, docs, percent), "linked")
-        if not more.isEmpty():
-            joined = more.join(found.withColumnsRenamed({"id": "a", "component": "ca"}), "a", "left").join(found.withColumnsRenamed({"id": "b", "component": "cb"}), "b", "left")
-            joined = joined.select(F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
-            over = components(joined.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")))
-            every = found.unionByName(more.selectExpr("explode(array(a, b)) as id").distinct().join(found, "id", "left_anti").selectExpr("id", "id as component"))
-            found = store.materialize(every.join(over.select(F.col("component").alias("top"), F.col("id").alias("component")), "component", "left").select("id", F.coalesce("top", "component").alias("component")), "components")
+        pairs = store.materialize(pairs.join(asked, ["a", "b"], "left_anti"), "pairs")
+        found = merged(found, store.materialize(confirm(pairs, docs, percent), "linked"))
     classes = groups.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(*prints, F.coalesce("component", "rep").alias("component_id"))
     plain = signs.select("doc_id", *prints)
     out = plain.join(classes, prints, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -18,7 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from keyloom.llm import store
 from keyloom.llm.bytetext import column_bytes, mix, span_hashes, word_spans
 
 
@@ -115,7 +117,8 @@ def measure(docs: DataFrame, limits: Limits = Limits(), key: str = "doc_id", tex
     """One row for each row of docs: its measures, and with `carry` all its own columns too."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "dup_line_chars", "dup_ngram_chars"]
     frame = docs if carry else docs.select(key, text)
-    mine = [f"q_{x}" for x in names]
+    p = store.fresh(frame.columns, "q_")
+    mine = [f"{p}{x}" for x in names]
     own = frame.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,9 +129,9 @@ def measure(docs: DataFrame, limits: Limits = Limits(), key: str = "doc_id", tex
             kept = list(batch.columns) if carry else [batch.column(own.index(key))]
             yield pa.RecordBatch.from_arrays(kept + found, names=(own if carry else [key]) + mine)
 
-    schema = frame.schema if carry else docs.select(key).schema
-    for field in [x.strip().split(" ") for x in MEASURES.split(", ")]:
-        schema = schema.add(f"q_{field[0]}", field[1])
+    schema = StructType([*(frame if carry else docs.select(key)).schema.fields])  # add() changes its own object
+    for field in StructType.fromDDL(MEASURES):
+        schema = schema.add(p + field.name, field.dataType)
     return frame.mapInArrow(run, schema)
 
 
@@ -140,4 +143,4 @@ def assess(docs: DataFrame, limits: Limits = Limits(), key: str = "doc_id", text
 
 def filter_documents(docs: DataFrame, limits: Limits = Limits(), text: str = "text") -> DataFrame:
     """The rows of docs that pass, with docs' own columns."""
-    return measure(docs, limits, text=text, carry=True).where("q_kept").select(*docs.columns)
+    return measure(docs, limits, text=text, carry=True).where(F.col(store.fresh(docs.columns, "q_") + "kept")).select(*docs.columns)

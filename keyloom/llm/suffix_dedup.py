@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from keyloom.llm import store
 from keyloom.llm.bytetext import CHUNK, INV, POW, TABLE, column_bytes, mix
@@ -278,10 +279,10 @@ CUT = "n_bytes long, n_removed long, n_spans long, kept binary"
 
 
 def cut_documents(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans (maximal removed runs) and kept (the remaining bytes) under names r_*."""
-    spans = repeated_spans(docs, length, key, text).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("r_spans"))
-    names = docs.columns
-    joined = docs.withColumn("r_id", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))).join(spans.withColumnRenamed("doc_id", "r_id"), "r_id", "left").select(*names, "r_spans")
+    """docs with n_bytes, n_removed, n_spans (maximal removed runs) and kept (the remaining bytes) under names with a prefix of their own, `r_` if no column has it."""
+    names, p = docs.columns, store.fresh(docs.columns, "r_")
+    spans = repeated_spans(docs, length, key, text).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias(f"{p}spans"))
+    joined = docs.withColumn(f"{p}id", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))).join(spans.withColumnRenamed("doc_id", f"{p}id"), f"{p}id", "left").select(*names, f"{p}spans")
     place = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,11 +305,11 @@ def cut_documents(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", te
                 runs.append(n)
                 kept.append(b"".join(parts))
             found = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays(list(batch.columns[: len(names)]) + found, names=[*names, "r_n_bytes", "r_n_removed", "r_n_spans", "r_kept"])
+            yield pa.RecordBatch.from_arrays(list(batch.columns[: len(names)]) + found, names=[*names, *[p + x.split(" ")[0] for x in CUT.split(", ")]])
 
-    schema = docs.schema
+    schema = StructType([*docs.schema.fields])  # add() changes its own object
     for field in CUT.split(", "):
-        schema = schema.add("r_" + field.split(" ")[0], field.split(" ")[1])
+        schema = schema.add(p + field.split(" ")[0], field.split(" ")[1])
     return joined.mapInArrow(run, schema)
 
 
@@ -319,10 +320,11 @@ def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def clean_documents(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFrame:
     """docs without their repeats; bytes of a character cut in two go too. n_chars, where there is one, is counted anew."""
+    p = store.fresh(docs.columns, "r_")
     cut = cut_documents(docs, length, text=text)
-    changed = F.when(F.col("r_n_removed") > 0, F.try_validate_utf8(F.col("r_kept").cast("string"))).otherwise(F.col(text))
-    broken = F.when((F.col("r_n_removed") > 0) & changed.isNull(), F.regexp_replace(F.make_valid_utf8(F.col("r_kept").cast("string")), "�", "")).otherwise(changed)
+    changed = F.when(F.col(f"{p}n_removed") > 0, F.try_validate_utf8(F.col(f"{p}kept").cast("string"))).otherwise(F.col(text))
+    broken = F.when((F.col(f"{p}n_removed") > 0) & changed.isNull(), F.regexp_replace(F.make_valid_utf8(F.col(f"{p}kept").cast("string")), "�", "")).otherwise(changed)
     out = cut.withColumn(text, broken)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("r_n_removed") > 0, F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(f"{p}n_removed") > 0, F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
