@@ -41,8 +41,8 @@ def to_regex(pattern: str) -> str:
             out += (f"[^{members}]" if negated else f"[{members}]") if members else ("." if negated else "(?!)")
         else:
             out += re.escape(c)
-    return f"(?s)^{out}$"
+    return f"(?s)^{out}\\z"
 
 
 def matches(column: Column, pattern: str) -> Column:
-    return column.rlike(to_regex(pattern).replace("$", "\\z") if pattern.endswith("\n") else to_regex(pattern)[:-1] + "\\z")
+    return column.rlike(to_regex(pattern))
