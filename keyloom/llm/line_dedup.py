@@ -152,4 +152,7 @@ def digest(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
-    return dedup_lines(docs, percent).select(*docs.columns)
+    """docs without their repeated lines; a document all of whose lines went is dropped, an empty one stays."""
+    p = store.fresh(docs.columns, "l_")
+    out = dedup_lines(docs, percent)
+    return out.where((F.col(f"{p}removed") == 0) | (F.col(f"{p}removed") < F.col(f"{p}lines"))).select(*docs.columns)
