@@ -2,17 +2,19 @@
 
 1. A text's set is the distinct hashes of its five-word shingles. 128 MinHash samples give 32
    bands of four; the samples are also folded into a 512-bit parity bitmap, the odd sketch,
-   whose XOR population count estimates the similarity of two texts.
+   whose XOR population count estimates the similarity of two texts. A second parity bitmap, of
+   the whole set, bounds it: a bit differs only through a shingle that one text alone has.
 2. Texts with equal sets become one representative. Within a band bucket every member is
    paired with the bucket's smallest id only; a pair survives if the odd sketches allow the
    similarity, and becomes a link if the full sets confirm it.
 3. Components of those links are found by alternating stars. Buckets that still hold several
-   components get newly drawn heads for a few rounds; then the members outside a bucket's largest
+   components get newly drawn heads once; then the members outside a bucket's largest
    component are paired with the rest of the bucket, again through the sketches and the full
    sets. So no link is lost to the star shape, and pairs are made only between components.
 
-A pair of similarity 0.75 meets in no band with probability 5e-6. A sketch lets pass
-everything whose estimate is within six standard deviations of the threshold.
+A pair of similarity 0.75 meets in no band with probability 5e-6. A sketch of samples lets
+pass everything whose estimate is within six standard deviations of the threshold; the bitmap of
+the whole set and the sizes drop only pairs that can't reach it.
 
 Defined cases: null, empty or wordless texts have an empty set and link with nothing. One to
 four words make one shingle. Repeated rows with one doc_id are
@@ -32,7 +34,7 @@ from keyloom.llm import store
 from keyloom.llm.bytetext import column_bytes, mix, shingle_hashes, span_hashes, word_spans
 
 SHINGLE, BANDS, ROWS, BITS = 5, 32, 4, 512
-ROUNDS = 3  # of newly drawn heads before the buckets' rest is compared
+ROUNDS = 1  # of newly drawn heads before the buckets' rest is compared
 SAMPLES = BANDS * ROWS
 _rng = np.random.default_rng(20240717)
 MULTIPLY = _rng.integers(1, 1 << 63, (SAMPLES, 1), dtype=np.uint64) | np.uint64(1)
@@ -58,6 +60,11 @@ def shingle_sets(column: pa.Array) -> list[np.ndarray]:
     return out
 
 
+def parity(bits: np.ndarray) -> np.ndarray:
+    """The parity bitmap of bit numbers, as 64-bit words."""
+    return np.packbits((np.bincount(bits.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def signature(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(keys of the bands, odd sketch as eight 64-bit words)."""
     with np.errstate(over="ignore"):
@@ -65,7 +72,7 @@ def signature(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for at in range(0, len(found), 2048):
             low = np.minimum(low, (MULTIPLY * found[None, at : at + 2048] + ADD).min(axis=1))
         bits = mix(low ^ PLACE) % np.uint64(BITS)
-        odd = np.packbits((np.bincount(bits.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
+        odd = parity(bits)
         keys = np.arange(BANDS, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
         for row in low.reshape(BANDS, ROWS).T:
             keys = mix(keys * np.uint64(0x9FB21C651E98DF25) + row)
@@ -81,11 +88,11 @@ def most_differing_bits(similarity: float, deviations: float = 6.0) -> int:
 
 
 def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, the set's fingerprint, band keys and odd sketch of each document."""
+    """doc_id, n_shingles, the set's fingerprint, band keys, odd sketch and whole parity bitmap of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, one, two, bands, odds = [], [], [], [], []
+            n, one, two, bands, odds, wholes = [], [], [], [], [], []
             for found in shingle_sets(batch.column(1)):
                 n.append(len(found))
                 with np.errstate(over="ignore"):
@@ -96,13 +103,14 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                 keys, odd = signature(found) if len(found) else (None, None)
                 bands.append(keys)
                 odds.append(odd)
+                wholes.append(parity(found % np.uint64(BITS)) if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(odds, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "print_one", "print_two", "bands", "odd"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(odds, pa.list_(pa.int64())), pa.array(wholes, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "print_one", "print_two", "bands", "odd", "whole"],
             )
 
     one_each = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    return one_each.mapInArrow(run, "doc_id long, n_shingles long, print_one long, print_two long, bands array<long>, odd array<long>")
+    return one_each.mapInArrow(run, "doc_id long, n_shingles long, print_one long, print_two long, bands array<long>, odd array<long>, whole array<long>")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -134,9 +142,9 @@ def components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = store.materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = store.materialize(both.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct(), "large")
-        least = store.materialize(large.groupBy("b").agg(F.min("a").alias("m")), "least")
+        least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
         edges = store.materialize(small.unionByName(least.select(F.col("m").alias("a"), "b")).distinct(), "edges")
         before, mark = mark, edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
@@ -170,12 +178,15 @@ def cluster(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str =
     banded = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     heads = store.materialize(banded.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head"), "heads")
     members = store.materialize(banded.join(heads, "key").select("key", "id", "head"), "members")
-    odd = reps.select(F.col("doc_id").alias("id"), "odd")
-    differing = sum((F.bit_count(F.col("odd_a")[i].bitwiseXOR(F.col("odd_b")[i])) for i in range(BITS // 64)), F.lit(0))
+    sketch = store.materialize(reps.select(F.col("doc_id").alias("id"), F.struct("odd", "whole", F.col("n_shingles").alias("n")).alias("s")), "sketch")
+    differing = lambda name: sum((F.bit_count(F.col(f"s_a.{name}")[i].bitwiseXOR(F.col(f"s_b.{name}")[i])) for i in range(BITS // 64)), F.lit(0))
+    # sets that similar differ in at most (1 - t) / (1 + t) of their sizes' sum
+    room = (100 - percent) * (F.col("s_a.n") + F.col("s_b.n"))
+    possible = ((100 + percent) * F.abs(F.col("s_a.n") - F.col("s_b.n")) <= room) & (differing("odd") <= most) & ((100 + percent) * differing("whole") <= room)
 
     def screened(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(odd.withColumnsRenamed({"id": "a", "odd": "odd_a"}), "a")
-        return left.join(odd.withColumnsRenamed({"id": "b", "odd": "odd_b"}), "b").where(differing <= most).select("a", "b")
+        left = pairs.join(sketch.withColumnsRenamed({"id": "a", "s": "s_a"}), "a")
+        return left.join(sketch.withColumnsRenamed({"id": "b", "s": "s_b"}), "b").where(possible).select("a", "b")
 
     star = store.materialize(members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "star")
     links = store.materialize(confirm(store.materialize(screened(star), "screened"), docs, percent), "linked")
@@ -206,10 +217,10 @@ def cluster(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str =
     inside = mixed_members(found)
     if inside is not None:
         main = inside.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-        inside = store.materialize(inside.join(store.materialize(main, "main"), "key").join(odd, "id"), "inside")
-        outside = inside.where("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("component_x"), F.col("odd").alias("odd_a"))
-        other = inside.select("key", F.col("id").alias("y"), F.col("component").alias("component_y"), F.col("main").alias("main_y"), F.col("odd").alias("odd_b"))
-        met = outside.join(other, "key").where((F.col("component_x") != F.col("component_y")) & ((F.col("component_y") == F.col("main_y")) | (F.col("x") < F.col("y"))) & (differing <= most))
+        inside = store.materialize(inside.join(store.materialize(main, "main"), "key").join(sketch, "id"), "inside")
+        outside = inside.where("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("component_x"), F.col("s").alias("s_a"))
+        other = inside.select("key", F.col("id").alias("y"), F.col("component").alias("component_y"), F.col("main").alias("main_y"), F.col("s").alias("s_b"))
+        met = outside.join(other, "key").where((F.col("component_x") != F.col("component_y")) & ((F.col("component_y") == F.col("main_y")) | (F.col("x") < F.col("y"))) & possible)
         pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         pairs = store.materialize(pairs.join(asked, ["a", "b"], "left_anti"), "pairs")
         found = merged(found, store.materialize(confirm(pairs, docs, percent), "linked"))
