@@ -78,15 +78,16 @@ def prefixes(lines: DataFrame, percent: int) -> DataFrame:
 
 def similar_lines(lines: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, pos) of the lines that have an earlier line as similar. lines: doc_id, pos, line, without equal texts."""
-    prefix = prefixes(lines, percent)
+    prefix = store.materialize(prefixes(lines, percent), "prefix")  # read three times; hashing is dear
     # each token's earliest line first: one candidate a token settles most lines of a large group
     heads = prefix.groupBy("token").agg(F.min(F.struct("doc_id", "pos", "n", "i")).alias("h"), F.count("*").alias("lines")).where("lines > 1")
     heads = store.materialize(heads.select("token", "h.*"), "heads")
     settled = store.materialize(verified(candidates(heads, prefix, percent), lines, percent), "settled")
     # the other lines meet every earlier line that shares a token
     shared = prefix.join(heads.select("token"), "token", "left_semi")
-    shared = store.materialize(shared, "shared")
-    open_lines = shared.join(settled, ["doc_id", "pos"], "left_anti")
+    open_lines = store.materialize(shared.join(settled, ["doc_id", "pos"], "left_anti"), "open")
+    # only tokens that an open line has can make pairs
+    shared = prefix.join(open_lines.select("token").distinct(), "token", "left_semi")
     rest = verified(candidates(shared, open_lines, percent), lines, percent)
     return settled.unionByName(rest).distinct()
 
