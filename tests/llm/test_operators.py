@@ -142,6 +142,19 @@ def test_quality_measures_equal_brute_force(docs):
         assert not (got[i].base_failed and got[i].kept)
 
 
+def test_quality_shares_reject_what_the_base_rule_keeps(spark):
+    words = [f"w{i}" for i in range(200)]
+    passage = [f"p{i}" for i in range(12)]
+    repeated = " ".join(passage + words[:100] + passage + words[100:150] + passage + words[150:] + passage)
+    line = "averyverylongword anotherverylongword"
+    lines = "\n".join(f"{line}\n{' '.join(f'line{6 * i + j}' for j in range(6))} {'x' * 40}{i}" for i in range(15))
+    rows = [(1, " ".join(words)), (2, repeated), (3, lines), (4, " ".join(words[:60] + words[:5]))]
+    got = {r.doc_id: r for r in quality_rules.assess(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert max(got[3].dup_ngram_chars) == 0 and 0.2 < got[3].dup_line_chars / got[3].word_chars < 0.3
+    assert {i: r.kept for i, r in got.items()} == {1: True, 2: False, 3: False, 4: True}
+
+
 def test_blocks_round_trip_and_single_blocks():
     rng = np.random.default_rng(1)
     for n in (0, 1, 127, 128, 129, 4000):
