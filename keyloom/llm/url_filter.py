@@ -1,9 +1,12 @@
 """URL filter: longest-match rules, and a character language-model ratio for what no rule fits.
 
 Two variable-order Markov models over characters, one of accepted and one of rejected URLs,
-learn from every URL that a rule decides. Orders 0 to 4 are interpolated (Witten-Bell), with
-n-gram and context counts in hashed tables of fixed size, so the models don't grow with the
-data while their counts do. A URL's score is the difference of the two log-likelihoods by character; the
+learn from every URL that a rule decides. Orders 0 to 4 are interpolated, each context counting
+as if it had 4 kinds of next byte (64 without one). The counts are exact: a table with a row for
+every 5-byte gram learnt, which grows with the corpus; shorter grams and contexts are its sums. The
+distinct grams of the URLs are joined to it order by order, and URLs meet their grams in chunks, so
+that a gram of all URLs is one row a chunk.
+A URL's score is the difference of the two log-likelihoods by character; the
 threshold is the `quantile` of held-out accepted URLs' scores (one in ten by hash), so that
 about that share of good URLs would be lost.
 
@@ -20,13 +23,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.bytetext import column_bytes, mix
+from keyloom.llm import store
+from keyloom.llm.bytetext import column_bytes
 
 ORDERS = 5
-BUCKETS = 1 << 15
+BITS = 9  # of a symbol: a byte, or 256 before the start
+CHUNK_ROWS, CHUNK_BYTES = 4096, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -58,78 +64,86 @@ def fitting(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out
 
 
-def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte and order: buckets of its context and of context and byte. Texts start from an empty context."""
-    contexts, grams = np.empty((ORDERS, len(data)), np.int64), np.empty((ORDERS, len(data)), np.int64)
+def _grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For every byte the gram of ORDERS symbols that ends there, oldest first, as one number."""
     place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
-    with np.errstate(over="ignore"):
-        state = np.zeros(len(data), np.uint64)
-        for order in range(ORDERS):
-            if order:
-                back = np.zeros(len(data), np.uint64)
-                back[order:] = data[:-order]
-                back[place < order] = 256  # before the start
-                state = mix(state * np.uint64(0x9FB21C651E98DF25) + back + np.uint64(order))
-            contexts[order] = (mix(state + np.uint64(1)) % np.uint64(BUCKETS)).astype(np.int64)
-            grams[order] = (mix(state * np.uint64(0xA24BAED4963EE407) + data.astype(np.uint64) + np.uint64(7)) % np.uint64(BUCKETS)).astype(np.int64)
-    return contexts, grams
-
-
-def learn(urls: DataFrame) -> np.ndarray:
-    """Counts [class, order, bucket] of n-grams of (url, allow) rows. Each task adds up its own table first."""
+    out = np.zeros(len(data), np.int64)
+    for back in reversed(range(ORDERS)):
+        symbol = np.full(len(data), 256, np.int64)
+        symbol[back:] = data[: len(data) - back]
+        symbol[place < back] = 256
+        out = (out << BITS) | symbol
+    return out
+
+
+def learn(urls: DataFrame) -> DataFrame:
+    """gram, good, bad: how often accepted and rejected ones of (url, allow) rows hold each longest gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, ORDERS, BUCKETS), np.int64)
         for batch in batches:
             data, offsets = column_bytes(batch.column(0))
-            _, grams = _grams(data, offsets)
             kind = np.repeat(np.asarray(batch.column(1).cast(pa.int8())), np.diff(offsets)).astype(np.int64)
-            for order in range(ORDERS):
-                counts[:, order] += np.bincount(kind * BUCKETS + grams[order], minlength=2 * BUCKETS).reshape(2, BUCKETS)
-        flat = counts.reshape(-1)
-        used = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(flat[used], pa.int64())], names=["slot", "n"])
-
-    summed = urls.select("url", "allow").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    out = np.zeros(2 * ORDERS * BUCKETS, np.int64)
-    for row in summed.toLocalIterator():  # at most 2 * ORDERS * BUCKETS rows
-        out[row["slot"]] = row["n"]
-    return out.reshape(2, ORDERS, BUCKETS)
-
-
-class Ratio:
-    """Scores of URLs under two models; context counts are those of the shorter gram that ends there."""
-
-    def __init__(self, counts: np.ndarray) -> None:
-        self.counts = counts
-        self.learnt = bool(counts[0].any() and counts[1].any())
-
-    def scores(self, column: pa.Array) -> np.ndarray:
-        data, offsets = column_bytes(column)
-        size = np.diff(offsets)
-        if not self.learnt or not len(data):
-            return np.zeros(len(size))
-        _, grams = _grams(data, offsets)
-        total = np.zeros(len(data))
-        for kind, sign in ((1, 1.0), (0, -1.0)):
-            p = np.full(len(data), 1.0 / 256)
-            seen = self.counts[kind]
-            for order in range(ORDERS):
-                n = seen[order][grams[order]].astype(np.float64)
-                if order:
-                    # the context of order m at a byte is the gram of order m - 1 that ends at the byte before
-                    context = np.zeros(len(data))
-                    context[1:] = seen[order - 1][grams[order - 1][:-1]]
-                    starts = offsets[:-1][size > 0]
-                    context[starts] = seen[0].sum() / max(1.0, self.counts[kind][0].sum())
-                else:
-                    context = np.full(len(data), float(seen[0].sum()))
-                context = np.maximum(context, n)
-                kinds = 4.0 if order else 64.0
-                p = (n + kinds * p) / (context + kinds)
-            total += sign * np.log(p)
+            keys, n = np.unique(_grams(data, offsets) * 2 + kind, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys >> 1), pa.array((keys & 1) * n, pa.int64()), pa.array((1 - (keys & 1)) * n, pa.int64())], names=["gram", "good", "bad"])
+
+    return urls.select("url", "allow").mapInArrow(run, "gram long, good long, bad long").groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+
+
+def ratios(asked: DataFrame, counts: DataFrame) -> DataFrame:
+    """gram, ratio: log-likelihood of the last byte when accepted less that when rejected, for distinct longest grams."""
+    suffix = lambda order: F.col("gram").bitwiseAND(F.lit((1 << BITS * (order + 1)) - 1))
+    likely = None
+    for order in range(ORDERS):
+        # a shorter gram ends at most 257 grams that are one longer, so no key is much more frequent than others
+        frame = asked.select(suffix(order).alias("gram")).distinct()
+        seen = counts.groupBy(suffix(order).alias("gram")).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+        context = F.shiftright("gram", BITS).alias("context")
+        whole = seen.groupBy(context).agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
+        frame = frame.join(seen, "gram", "left").select("*", context).join(whole, "context", "left").na.fill(0)
+        if order:
+            frame = frame.withColumn("shorter", suffix(order - 1)).join(likely.withColumnRenamed("gram", "shorter"), "shorter")
+        else:
+            frame = frame.withColumns({"p_good": F.lit(1.0 / 256), "p_bad": F.lit(1.0 / 256)})
+        kinds = 4.0 if order else 64.0
+        p = lambda x: ((F.col(x) + kinds * F.col(f"p_{x}")) / (F.col(f"all_{x}") + kinds)).alias(f"p_{x}")  # noqa: B023, E731
+        likely = store.materialize(frame.select("gram", p("good"), p("bad")), "likely")
+    return likely.select("gram", (F.log("p_good") - F.log("p_bad")).alias("ratio"))
+
+
+def scored(urls: DataFrame, counts: DataFrame) -> DataFrame:
+    """urls (with url) and their score: the mean ratio of their bytes, 0 without any."""
+    own = urls.columns
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            _, offsets = column_bytes(batch.column(own.index("url")))
+            chunk = number + np.arange(batch.num_rows) // CHUNK_ROWS + offsets[1:] // CHUNK_BYTES
+            number = int(chunk[-1]) + 1 if len(chunk) else number
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chunk, pa.int64())], names=[*own, "chunk"])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = column_bytes(batch.column(1))
+            grams, chunk = _grams(data, offsets), np.repeat(np.asarray(batch.column(0)), np.diff(offsets))
+            for c in np.unique(chunk):
+                found = np.unique(grams[chunk == c])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), c), pa.int64()), pa.array(found)], names=["chunk", "gram"])
+
+    def score(rows: pa.Table, known: pa.Table) -> pa.Table:
+        data, offsets = column_bytes(rows.column("url").combine_chunks())
+        gram, ratio = np.asarray(known.column("gram").combine_chunks()), np.asarray(known.column("ratio").combine_chunks())
+        order = np.argsort(gram)
+        total = ratio[order][np.searchsorted(gram[order], _grams(data, offsets))] if len(data) else np.zeros(0)
         edge = np.concatenate(([0.0], np.cumsum(total)))
-        return (edge[offsets[1:]] - edge[offsets[:-1]]) / np.maximum(size, 1)
+        found = (edge[offsets[1:]] - edge[offsets[:-1]]) / np.maximum(np.diff(offsets), 1)
+        return rows.drop_columns(["chunk"]).append_column("score", pa.array(found, pa.float64()))
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in urls.schema.fields)
+    dealt = store.materialize(urls.mapInArrow(deal, f"{fields}, chunk long"), "urls")
+    met = store.materialize(dealt.select("chunk", "url").mapInArrow(ask, "chunk long, gram long"), "grams")
+    known = met.join(ratios(store.materialize(met.select("gram").distinct(), "asked"), counts), "gram")
+    return dealt.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(score, f"{fields}, score double")
 
 
 def judge(pages: DataFrame, rules: list[Rule], quantile: float = 0.005, key: str = "page_id", url: str = "url") -> DataFrame:
@@ -137,17 +151,13 @@ def judge(pages: DataFrame, rules: list[Rule], quantile: float = 0.005, key: str
     host, path = host_and_path(F.col("url"))
     plain = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"))
     ruled = plain.select("page_id", "url", host.alias("host"), path.alias("path")).withColumn("fit", fitting(F.col("host"), F.col("path"), rules))
-    known = ruled.where("fit is not null").select("url", F.col("fit.allow").alias("allow"), (F.pmod(F.xxhash64("url"), F.lit(10)) == 0).alias("held"))
-    ratio = Ratio(learn(known.where("not held")))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = ratio.scores(batch.column(batch.schema.get_field_index("url")))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, "score"])
-
-    good = known.where("held and allow").select("url").mapInArrow(score, "url string, score double")
-    found = good.agg(F.percentile_approx("score", quantile, 100_000).alias("t")).first()["t"] if ratio.learnt else None
-    threshold = 0.0 if found is None else min(0.0, found)
-    scored = ruled.select("page_id", "url", "host", "path", "fit").mapInArrow(score, "page_id long, url string, host string, path string, fit struct<name:string,allow:boolean>, score double")
+    held = F.pmod(F.xxhash64("url"), F.lit(10)) == 0
+    known = ruled.where("fit is not null").where(~held)
+    counts = store.materialize(learn(known.select("url", F.col("fit.allow").alias("allow"))), "counts")
+    sides = counts.agg(F.max("good").alias("good"), F.max("bad").alias("bad")).first()
+    learnt = bool(sides["good"] and sides["bad"])
+    found = store.materialize(scored(ruled, counts), "scored") if learnt else ruled.withColumn("score", F.lit(0.0))
+    limit = found.where(held & F.col("fit.allow")).agg(F.percentile_approx("score", quantile, 100_000).alias("t")).first()["t"] if learnt else None
+    threshold = 0.0 if limit is None else min(0.0, limit)
     allow = F.coalesce(F.col("fit.allow"), F.col("score") >= threshold)
-    return scored.select("page_id", "host", "path", F.col("fit.name").alias("rule"), F.when(allow, "allow").otherwise("block").alias("verdict"), "score")
+    return found.select("page_id", "host", "path", F.col("fit.name").alias("rule"), F.when(allow, "allow").otherwise("block").alias("verdict"), "score")

@@ -291,3 +291,33 @@ def test_url_rules_and_held_out_accuracy(spark):
     right = sum(got[807 + i].verdict == ("allow" if i < 50 else "block") for i in range(100))
     assert right >= 90
     assert url_filter.judge(df.where("1 = 0"), queries.RULES).count() == 0
+
+
+def test_url_counts_are_exact_and_grow(spark):
+    rng = random.Random(6)
+    urls = [(i, f"https://{'example.net/de/1' if i % 2 else 'example.org/es/'}{rng.getrandbits(160):040x}") for i in range(2400)] + [(2400, "http://none.info/x"), (2401, None), (2402, "http://none.info/x")]
+    got = {r.page_id: r.score for r in url_filter.judge(spark.createDataFrame(urls, "page_id long, url string"), queries.RULES).collect()}
+    held = {r.url for r in spark.createDataFrame(urls, "page_id long, url string").where("pmod(xxhash64(url), 10) = 0").collect()}
+
+    def grams(url):
+        x = [256] * 4 + list(url.encode())
+        return [tuple(x[i - 4 : i + 1]) for i in range(4, len(x))]
+
+    known = [(u, i % 2) for i, u in urls[:2400] if u not in held]
+    seen = [collections.Counter(), collections.Counter()]
+    for u, kind in known:
+        for g in grams(u):
+            seen[kind].update([g[4 - order :] for order in range(5)] + [("before", *g[4 - order : 4]) for order in range(5)])
+    distinct = {g for kind in seen for g in kind if len(g) == 5 and g[0] != "before"}
+    assert len(distinct) > 1 << 15
+    assert url_filter.learn(spark.createDataFrame([(u, k == 1) for u, k in known], "url string, allow boolean")).count() == len(distinct)
+    for i, u in [*urls[:20], *urls[2400:]]:
+        total = 0.0
+        for g in grams(u or ""):
+            for kind, sign in ((1, 1), (0, -1)):
+                p = 1 / 256
+                for order in range(5):
+                    kinds = 4 if order else 64
+                    p = (seen[kind][g[4 - order :]] + kinds * p) / (seen[kind][("before", *g[4 - order : 4])] + kinds)
+                total += sign * np.log(p)
+        assert abs(got[i] - total / max(1, len((u or "").encode()))) < 1e-9, u
