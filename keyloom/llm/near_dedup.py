@@ -231,6 +231,13 @@ def cluster(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str =
 
 
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of docs that represent their component, with docs' own columns."""
-    judged = cluster(docs, percent)
-    return docs.join(judged.where("kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    """The rows of docs that represent their component, with docs' own columns: one each, also where rows share a doc_id."""
+    names, p = docs.columns, store.fresh(docs.columns, "n_")
+    nth = f"{p}nth"
+    docs = store.numbered(docs.where("doc_id is not null"), F.col("doc_id"), nth)
+    if docs.where(F.col(nth) > 0).isEmpty():
+        return docs.join(cluster(docs, percent).where("kept").select("doc_id"), "doc_id", "left_semi").select(*names)
+    # rows are clustered by their numbers; of a component the row with the least doc_id and number stays
+    judged = cluster(docs.select(F.col(nth).alias("doc_id"), "text"), percent).select(F.col("doc_id").alias(nth), F.col("component_id").alias(f"{p}of"))
+    first = docs.select("doc_id", nth).join(judged, nth).groupBy(f"{p}of").agg(F.min(F.struct("doc_id", nth)).alias("first"))
+    return docs.join(store.materialize(first.select(f"first.{nth}"), "first"), nth, "left_semi").select(*names)

@@ -7,7 +7,8 @@ import tempfile
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,6 +54,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(df: DataFrame, key: Column, name: str) -> DataFrame:
+    """df with a long column that tells rows with equal keys apart: 0 if no key is repeated, or else a number for each row of a stored copy."""
+    if df.select(key.alias("k")).groupBy("k").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return df.withColumn(name, F.lit(0).cast("long"))
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
 def fresh(columns: list[str], prefix: str) -> str:
     """A prefix that no column begins with, so added columns can't clash."""
     while any(c.lower().startswith(prefix) for c in columns):

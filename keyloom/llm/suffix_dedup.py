@@ -14,10 +14,11 @@ context, is dealt out by anchor and merge-scanned once more over all tasks. Runs
 is shared by different contexts (the edges of copied passages) go a second time through the
 same family, window by window.
 
-Positions that start earlier: smaller doc_id, or the same document and an earlier start.
+Positions that start earlier: smaller doc_id, or the same document and an earlier start. Rows that
+share a doc_id are documents of their own, in the order of their numbers (`nth`, see store.numbered).
 
-Defined cases: null text is empty; a text shorter than `length` is never touched; a repeated doc_id
-counts as a later document of the same id when its row is equal, so use unique ids; a null doc_id sorts
+Defined cases: null text is empty; a text shorter than `length` is never touched; of rows with
+one doc_id, equal or not, one counts as the first and keeps its text; a null doc_id sorts
 first. Extra columns are ignored or, in `clean_documents`, kept. An empty table gives an empty table.
 """
 
@@ -37,8 +38,8 @@ from keyloom.llm.bytetext import CHUNK, INV, POW, TABLE, column_bytes, mix
 
 ANCHOR = 32
 LENGTH = 100
-ENTRY = np.dtype([("print", "u8"), ("anchor", "i8"), ("context", "i8"), ("doc", "i8"), ("at", "i8"), ("n", "i8"), ("back", "i8")])
-FOUND = "anchor long, context long, doc_id long, at long, n long, back long"
+ENTRY = np.dtype([("print", "u8"), ("anchor", "i8"), ("context", "i8"), ("doc", "i8"), ("nth", "i8"), ("at", "i8"), ("n", "i8")])
+FOUND = "anchor long, context long, doc_id long, nth long, at long, n long"
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -65,8 +66,8 @@ class Prints:
         return mix((self.sums[length:] - self.sums[:n]) * INV[:n])
 
 
-def entries(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
-    """The runs of all texts of a batch: anchor, context, document, first window, windows, bytes from it back to the first window."""
+def entries(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, nth: np.ndarray, length: int) -> np.ndarray:
+    """The runs of all texts of a batch: anchor, context, document, first window, windows."""
     out = []
     for p in range(0, max(0, len(data) - length + 1), CHUNK):
         part = data[p : p + CHUNK + length - 1]
@@ -97,8 +98,8 @@ def entries(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, length: int
         context = mix(context + mix(shape))
         found["context"] = context.view(np.int64)
         found["print"] = mix(hashes[at] ^ (context << np.uint64(1)))
-        found["doc"], found["at"] = docs[row], first + p - offsets[row]
-        found["n"], found["back"] = last - first, at - first
+        found["doc"], found["nth"], found["at"] = docs[row], nth[row], first + p - offsets[row]
+        found["n"] = last - first
         out.append(found)
     return np.concatenate(out) if out else np.empty(0, ENTRY)
 
@@ -111,7 +112,7 @@ class SuffixLevels:
 
     def add(self, batch: np.ndarray) -> list[np.ndarray]:
         out = []
-        batch = batch[np.lexsort((batch["at"], batch["doc"], batch["print"]))]
+        batch = batch[np.lexsort((batch["at"], batch["nth"], batch["doc"], batch["print"]))]
         later = np.zeros(len(batch), bool)
         later[1:] = batch["print"][1:] == batch["print"][:-1]
         out.append(batch[later])
@@ -124,7 +125,8 @@ class SuffixLevels:
             if not same.any():
                 continue
             mine, held = batch[same], level[where[same]]
-            older = (mine["doc"] < held["doc"]) | ((mine["doc"] == held["doc"]) & (mine["at"] < held["at"]))
+            before = (mine["nth"] < held["nth"]) | ((mine["nth"] == held["nth"]) & (mine["at"] < held["at"]))
+            older = (mine["doc"] < held["doc"]) | ((mine["doc"] == held["doc"]) & before)
             out.append(np.where(older, held, mine))
             level[where[same][older]] = mine[older]
             batch = batch[~same]
@@ -140,24 +142,24 @@ class SuffixLevels:
 
 
 def _rows(x: np.ndarray) -> pa.RecordBatch:
-    cols = [pa.array(np.ascontiguousarray(x[c])) for c in ("anchor", "context", "doc", "at", "n", "back")]
-    return pa.RecordBatch.from_arrays(cols, names=["anchor", "context", "doc_id", "at", "n", "back"])
+    cols = [pa.array(np.ascontiguousarray(x[c])) for c in ("anchor", "context", "doc", "nth", "at", "n")]
+    return pa.RecordBatch.from_arrays(cols, names=["anchor", "context", "doc_id", "nth", "at", "n"])
 
 
 def _spans(found: list[np.ndarray], length: int) -> pa.RecordBatch | None:
     """Byte spans of repeated runs as rows without an anchor; neighbours of one document are joined."""
     if not found:
         return None
-    x = np.concatenate([f[["doc", "at", "n"]] for f in found])
-    x = x[np.lexsort((x["at"], x["doc"]))]
+    x = np.concatenate([f[["doc", "nth", "at", "n"]] for f in found])
+    x = x[np.lexsort((x["at"], x["nth"], x["doc"]))]
     begin, end = x["at"], x["at"] + x["n"] - 1 + length
     # ends of runs of one document ascend with their starts but for the last bytes, so joining neighbours is enough
     new = np.ones(len(x), bool)
-    new[1:] = (x["doc"][1:] != x["doc"][:-1]) | (begin[1:] > end[:-1])
+    new[1:] = (x["doc"][1:] != x["doc"][:-1]) | (x["nth"][1:] != x["nth"][:-1]) | (begin[1:] > end[:-1])
     first = np.flatnonzero(new)
     stop = np.maximum.reduceat(end, first)
     none = pa.nulls(len(first), pa.int64())
-    return pa.RecordBatch.from_arrays([none, none, pa.array(np.ascontiguousarray(x["doc"][first])), pa.array(np.ascontiguousarray(begin[first])), pa.array(stop - begin[first]), none], names=["anchor", "context", "doc_id", "at", "n", "back"])
+    return pa.RecordBatch.from_arrays([none, none, pa.array(np.ascontiguousarray(x["doc"][first])), pa.array(np.ascontiguousarray(x["nth"][first])), pa.array(np.ascontiguousarray(begin[first])), pa.array(stop - begin[first])], names=["anchor", "context", "doc_id", "nth", "at", "n"])
 
 
 def _scan(make, length: int):
@@ -190,7 +192,7 @@ def _meet(length: int):
             if not batch.num_rows:
                 continue
             x = np.empty(batch.num_rows, ENTRY)
-            for c, column in zip(("anchor", "context", "doc", "at", "n", "back"), batch.columns, strict=True):
+            for c, column in zip(("anchor", "context", "doc", "nth", "at", "n"), batch.columns, strict=True):
                 x[c] = column.to_numpy(zero_copy_only=False)
             same_anchor, same = np.zeros(len(x), bool), np.zeros(len(x), bool)
             same_anchor[1:] = x["anchor"][1:] == x["anchor"][:-1]
@@ -225,22 +227,23 @@ def _meet(length: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, at, n): byte spans to remove; spans of a document may overlap."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", nth: str | None = None) -> DataFrame:
+    """(doc_id, nth, at, n): byte spans to remove; spans of a document may overlap. `nth` names a column that tells rows with one key apart."""
     if length <= ANCHOR:
         raise ValueError(f"length must be over {ANCHOR}")
     spark = docs.sparkSession
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), (F.col(nth) if nth else F.lit(0).cast("long")).alias("nth"))
 
     def from_texts(batch: pa.RecordBatch) -> np.ndarray:
         data, offsets = column_bytes(batch.column(1))
-        return entries(data, offsets, np.asarray(batch.column(0).fill_null(np.iinfo(np.int64).min)), length)
+        return entries(data, offsets, np.asarray(batch.column(0).fill_null(np.iinfo(np.int64).min)), np.asarray(batch.column(2)), length)
 
     def from_edges(batch: pa.RecordBatch) -> np.ndarray:
         """Each window of the given runs as an entry of its own."""
-        data, offsets = column_bytes(batch.column(1))
+        data, offsets = column_bytes(batch.column(2))
+        nth = np.asarray(batch.column(1))
         ids = np.asarray(batch.column(0).fill_null(np.iinfo(np.int64).min))
-        runs = batch.column(2)
+        runs = batch.column(3)
         flat, at = runs.flatten(), np.asarray(runs.offsets) - runs.offsets[0].as_py()
         begin, n, anchor = (np.asarray(flat.field(i)) for i in range(3))
         row = np.repeat(np.arange(len(ids)), np.diff(at))
@@ -257,22 +260,22 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
         out = np.empty(len(start), ENTRY)
         out["anchor"], out["context"] = hashes.view(np.int64), anchor
         out["print"] = mix(hashes ^ (anchor.view(np.uint64) << np.uint64(1)))
-        out["doc"], out["at"], out["n"], out["back"] = ids[row], start - offsets[row], 1, 0
+        out["doc"], out["nth"], out["at"], out["n"] = ids[row], nth[row], start - offsets[row], 1
         return out
 
     def over_all(found: DataFrame) -> DataFrame:
-        dealt = found.repartition(F.coalesce("anchor", F.xxhash64("doc_id", "at")))
-        return dealt.sortWithinPartitions("anchor", "context", "doc_id", "at").mapInArrow(_meet(length), FOUND)
+        dealt = found.repartition(F.coalesce("anchor", F.xxhash64("doc_id", "nth", "at")))
+        return dealt.sortWithinPartitions("anchor", "context", "doc_id", "nth", "at").mapInArrow(_meet(length), FOUND)
 
     first = store.materialize(over_all(docs.mapInArrow(_scan(from_texts, length), FOUND)), "runs")
     store.release(spark)
-    edges = first.where("anchor is not null").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n", "anchor")).alias("runs"))
+    edges = first.where("anchor is not null").groupBy("doc_id", "nth").agg(F.collect_list(F.struct("at", "n", "anchor")).alias("runs"))
     # null ids have been given the least long above
     texts = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    second = over_all(texts.join(edges, "doc_id").mapInArrow(_scan(from_edges, length), FOUND))
-    second = store.materialize(second.where("anchor is null").select("doc_id", "at", "n"), "windows")
+    second = over_all(texts.join(edges, ["doc_id", "nth"]).mapInArrow(_scan(from_edges, length), FOUND))
+    second = store.materialize(second.where("anchor is null").select("doc_id", "nth", "at", "n"), "windows")
     store.release(spark)
-    return first.where("anchor is null").select("doc_id", "at", "n").unionByName(second)
+    return first.where("anchor is null").select("doc_id", "nth", "at", "n").unionByName(second)
 
 
 CUT = "n_bytes long, n_removed long, n_spans long, kept binary"
@@ -281,8 +284,11 @@ CUT = "n_bytes long, n_removed long, n_spans long, kept binary"
 def cut_documents(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with n_bytes, n_removed, n_spans (maximal removed runs) and kept (the remaining bytes) under names with a prefix of their own, `r_` if no column has it."""
     names, p = docs.columns, store.fresh(docs.columns, "r_")
-    spans = repeated_spans(docs, length, key, text).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias(f"{p}spans"))
-    joined = docs.withColumn(f"{p}id", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))).join(spans.withColumnRenamed("doc_id", f"{p}id"), f"{p}id", "left").select(*names, f"{p}spans")
+    own = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
+    docs = store.numbered(docs, own, f"{p}nth")
+    spans = repeated_spans(docs, length, key, text, f"{p}nth").groupBy("doc_id", "nth").agg(F.collect_list(F.struct("at", "n")).alias(f"{p}spans"))
+    spans = spans.withColumnsRenamed({"doc_id": f"{p}id", "nth": f"{p}nth"})
+    joined = docs.withColumn(f"{p}id", own).join(spans, [f"{p}id", f"{p}nth"], "left").select(*names, f"{p}spans")
     place = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +313,7 @@ def cut_documents(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", te
             found = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(list(batch.columns[: len(names)]) + found, names=[*names, *[p + x.split(" ")[0] for x in CUT.split(", ")]])
 
-    schema = StructType([*docs.schema.fields])  # add() changes its own object
+    schema = StructType([docs.schema[x] for x in names])  # add() changes its own object
     for field in CUT.split(", "):
         schema = schema.add(p + field.split(" ")[0], field.split(" ")[1])
     return joined.mapInArrow(run, schema)

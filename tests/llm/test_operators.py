@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from keyloom.llm import chat, line_dedup, near_dedup, packing, pfor, quality_rules, queries, sentencepiece, suffix_dedup, topk, url_filter
 from keyloom.llm.tokens import encoder, resolve
 
@@ -75,6 +76,34 @@ def test_suffix_dedup_equals_brute_force(docs):
     assert got == want
 
 
+def test_rows_with_one_id_keep_their_text_once(spark):
+    rng = random.Random(8)
+    one, two, three, four = (" ".join(f"{rng.choice('abcdefgh')}{rng.getrandbits(40)}" for _ in range(60)) for _ in range(4))
+    rows = [(1, one, "en", "a", len(one), None), (1, one, "en", "b", len(one), None), (2, two, "en", "s", len(two), None), (2, three, "en", "s", len(three), None), (3, four, "en", "s", len(four), None), (4, one, "en", "s", len(one), None)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    whole = sorted([one, two, three, four])
+    got = suffix_dedup.digest(df).collect()
+    assert len(got) == 6 and sorted(r.kept_sha256 for r in got if r.n_removed == 0) == sorted(hashlib.sha256(x.encode()).hexdigest() for x in whole)
+    assert sorted((r.doc_id, r.n_removed) for r in got if r.n_removed) == [(1, len(one)), (4, len(one))]
+    assert sorted(r.text for r in suffix_dedup.clean_documents(df).collect() if r.text) == whole
+    kept = near_dedup.keep_one(df).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, one), (2, two), (2, three), (3, four)])
+
+
+def test_repeated_rows_pass_the_pipeline_once(spark):
+    rng = random.Random(9)
+    x = [" ".join(f"{rng.choice('abcdefgh')}{rng.getrandbits(40)}" for _ in range(80)) for _ in range(3)]
+    out = spark.createDataFrame([(i, t, "en", "s", len(t), None) for i, t in ((1, x[0]), (1, x[0]), (2, x[1]), (3, x[2]), (3, x[2]))], SCHEMA)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, "")
+        assert {r.text for r in out.collect()} == set(x), name
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(i + 1, t) for i, t in enumerate(x)]
+    library = Tokenizer.from_file(resolve("byte_bpe_50k.json"))
+    ids = [library.encode(t, add_special_tokens=False).ids + [0] for t in x]
+    packed = corpus_pipeline.STAGES[-1][1](spark, out, "").collect()
+    assert sum(r.length for r in packed) == sum(map(len, ids)) and {r.doc_id for r in packed} == {1, 2, 3}
+
+
 def test_cleaned_documents_keep_their_columns(docs):
     for clean in (suffix_dedup.clean_documents, line_dedup.clean_documents, quality_rules.filter_documents, near_dedup.keep_one):
         assert clean(docs).columns == docs.columns
