@@ -18,7 +18,7 @@ the whole set and the sizes drop only pairs that can't reach it.
 
 Defined cases: null, empty or wordless texts have an empty set and link with nothing. One to
 four words make one shingle. Repeated rows with one doc_id are
-each returned and share a component. Rows with a null doc_id are dropped. Extra columns are ignored. An empty table gives an empty table.
+each returned and share a component. Rows with a null doc_id link with nothing: no component, kept. Extra columns are ignored. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -109,7 +109,7 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                 names=["doc_id", "n_shingles", "print_one", "print_two", "bands", "odd", "whole"],
             )
 
-    one_each = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
+    one_each = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     return one_each.mapInArrow(run, "doc_id long, n_shingles long, print_one long, print_two long, bands array<long>, odd array<long>, whole array<long>")
 
 
@@ -171,7 +171,7 @@ def cluster(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str =
     most = most_differing_bits(percent / 100)
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     signs = store.materialize(sketches(docs), "sketches")
-    small = signs.select("doc_id", "n_shingles", "print_one", "print_two").where("n_shingles > 0")
+    small = signs.select("doc_id", "n_shingles", "print_one", "print_two").where("n_shingles > 0 and doc_id is not null")
     prints = ["print_one", "print_two", "n_shingles"]
     groups = store.materialize(small.groupBy(*prints).agg(F.min("doc_id").alias("rep")), "groups")
     reps = signs.join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
@@ -226,18 +226,19 @@ def cluster(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str =
         found = merged(found, store.materialize(confirm(pairs, docs, percent), "linked"))
     classes = groups.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(*prints, F.coalesce("component", "rep").alias("component_id"))
     plain = signs.select("doc_id", *prints)
-    out = plain.join(classes, prints, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    out = plain.join(classes, prints, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of docs that represent their component, with docs' own columns: one each, also where rows share a doc_id."""
+    """The rows of docs that represent their component, with docs' own columns: one each, also where rows share a doc_id. Rows without one stay."""
+    unlinked = docs.where("doc_id is null")
     names, p = docs.columns, store.fresh(docs.columns, "n_")
     nth = f"{p}nth"
     docs = store.numbered(docs.where("doc_id is not null"), F.col("doc_id"), nth)
     if docs.where(F.col(nth) > 0).isEmpty():
-        return docs.join(cluster(docs, percent).where("kept").select("doc_id"), "doc_id", "left_semi").select(*names)
+        return docs.join(cluster(docs, percent).where("kept").select("doc_id"), "doc_id", "left_semi").select(*names).unionByName(unlinked)
     # rows are clustered by their numbers; of a component the row with the least doc_id and number stays
     judged = cluster(docs.select(F.col(nth).alias("doc_id"), "text"), percent).select(F.col("doc_id").alias(nth), F.col("component_id").alias(f"{p}of"))
     first = docs.select("doc_id", nth).join(judged, nth).groupBy(f"{p}of").agg(F.min(F.struct("doc_id", nth)).alias("first"))
-    return docs.join(store.materialize(first.select(f"first.{nth}"), "first"), nth, "left_semi").select(*names)
+    return docs.join(store.materialize(first.select(f"first.{nth}"), "first"), nth, "left_semi").select(*names).unionByName(unlinked)
