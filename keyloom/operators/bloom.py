@@ -82,3 +82,36 @@ def links(capacity: int, error: float, total: int, expansion: int = 2, tightenin
         if room >= total:
             return out
     raise ValueError("the filter is full")
+
+
+def arrived(items: DataFrame, item: str = "item", at: str = "at") -> DataFrame:
+    """The distinct items with rank, from 0 in the order of their first `at`. One row a partition goes to the driver."""
+    first = items.groupBy(item).agg(F.min(at).alias("first")).repartitionByRange("first", item).sortWithinPartitions("first", item)
+    rows = first.withColumn("row", F.monotonically_increasing_id()).select(item, "row").persist()
+    part = F.shiftright("row", 33)
+    counts = sorted((r["part"], r["n"]) for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    before, total = [], 0
+    for p, n in counts:
+        before.append((p, total))
+        total += n
+    starts = F.broadcast(items.sparkSession.createDataFrame(before, "part long, before long"))
+    return rows.withColumn("part", part).join(starts, "part").select(item, (F.col("before") + F.col("row").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank"))
+
+
+def chain(items: DataFrame, capacity: int, error: float, item: str = "item", at: str = "at") -> list[tuple[DataFrame, Plan]]:
+    """The links that a scaling filter has after all items in the order of `at`. An item that earlier links hold by mistake is added all the same."""
+    ranked = arrived(items, item, at)
+    plans, out, start = links(capacity, error, ranked.count()), [], 0
+    for i, p in enumerate(plans):
+        end = start + capacity * 2**i
+        out.append((build(ranked.where((F.col("rank") >= start) & (F.col("rank") < end)), p, item), p))
+        start = end
+    return out
+
+
+def any_holds(probes: DataFrame, filters: list[tuple[DataFrame, Plan]], item: str = "item") -> DataFrame:
+    """probes with found: whether a link of the chain might hold the item."""
+    out = probes
+    for i, (blocks, p) in enumerate(filters):
+        out = might_hold(out, blocks, p, item).withColumnRenamed("found", f"found_{i}")
+    return out.select(*probes.columns, F.array_contains(F.array(*[f"found_{i}" for i in range(len(filters))]), True).alias("found"))

@@ -822,6 +822,5 @@ def bloom_no_false_negative(spark, sf):
 
 @query()
 def bloom_exists(spark, sf):
-    p = bloom.plan(100_000, 0.001)
-    items = _items(spark, sf)
-    return bloom.might_hold(items, bloom.build(items.where("half = 0"), p), p).groupBy("half", "found").agg(F.count("*").alias("n"))
+    pages = m.table(spark, sf, "pages").where("page_id % 2 = 0").select(F.encode("url", "utf-8").alias("item"), F.col("page_id").alias("at"))
+    return bloom.any_holds(_items(spark, sf), bloom.chain(pages, 100_000, 0.001)).groupBy("half", "found").agg(F.count("*").alias("n"))
