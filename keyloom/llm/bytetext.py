@@ -1,17 +1,21 @@
 """Whole Arrow string columns as one byte buffer: words, hashes and rolling hashes in numpy.
 
-Everything works on the concatenated bytes of a batch, in chunks, so that temporary
-memory is bounded however long one text is.
+Batches are worked on in groups of rows of at most GROUP_BYTES (row_groups), a longer text being a
+group of its own; hashes are made in chunks of CHUNK bytes. So temporary memory is some twenty times
+the larger of GROUP_BYTES and the longest text, however many rows a batch has.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 CHUNK = 1 << 20
+GROUP_BYTES = 1 << 21
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -41,6 +45,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def row_groups(column: pa.Array, limit: int = GROUP_BYTES) -> Iterator[pa.Array]:
+    """Slices of a string column, in order, of at most `limit` bytes each or one row."""
+    edges = np.concatenate(([0], np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64))))
+    at = 0
+    while at < len(column):
+        stop = max(at + 1, int(np.searchsorted(edges, edges[at] + limit, "right")) - 1)
+        yield column.slice(at, stop - at)
+        at = stop
+
+
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null is empty. offsets has one entry more than there are rows."""
     if isinstance(column, pa.ChunkedArray):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm import store
-from keyloom.llm.bytetext import column_bytes, mix, shingle_hashes, span_hashes, word_spans
+from keyloom.llm.bytetext import column_bytes, mix, row_groups, shingle_hashes, span_hashes, word_spans
 
 SHINGLE, BANDS, ROWS, BITS = 5, 32, 4, 512
 ROUNDS = 1  # of newly drawn heads before the buckets' rest is compared
@@ -46,18 +46,17 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
 
 
-def shingle_sets(column: pa.Array) -> list[np.ndarray]:
+def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
     """The distinct shingle hashes of each text, ascending."""
-    data, offsets = column_bytes(column)
-    data = lower_ascii(data)
-    starts, ends = word_spans(data, offsets)
-    words = span_hashes(data, starts, ends)
-    cut = np.searchsorted(starts, offsets)
-    out = []
-    for a, b in zip(cut[:-1], cut[1:], strict=True):
-        own = words[a:b]
-        out.append(np.unique(shingle_hashes(own, min(SHINGLE, len(own)))) if len(own) else own)
-    return out
+    for group in row_groups(column):
+        data, offsets = column_bytes(group)
+        data = lower_ascii(data)
+        starts, ends = word_spans(data, offsets)
+        words = span_hashes(data, starts, ends)
+        cut = np.searchsorted(starts, offsets)
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            own = words[a:b]
+            yield np.unique(shingle_hashes(own, min(SHINGLE, len(own)))) if len(own) else own
 
 
 def parity(bits: np.ndarray) -> np.ndarray:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from keyloom.llm import store
-from keyloom.llm.bytetext import column_bytes, mix, span_hashes, word_spans
+from keyloom.llm.bytetext import column_bytes, mix, row_groups, span_hashes, word_spans
 
 
 @dataclass(frozen=True)
@@ -95,17 +95,22 @@ def judge(words: np.ndarray, chars: np.ndarray, line: np.ndarray, limits: Limits
     return n, total, dup_lines, repeat_words, base, not base and not bad, dup_line_chars, shares
 
 
-def _measure_batch(column: pa.Array, limits: Limits) -> list[tuple]:
+SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
+
+
+def _measure_group(column: pa.Array, limits: Limits) -> list[tuple]:
+    """Measures of the texts of one group of rows, see row_groups."""
     data, offsets = column_bytes(column)
     starts, ends = word_spans(data, offsets)
     words = span_hashes(data, starts, ends)
-    head = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)))  # code points so far
-    chars = head[ends] - head[starts]
-    symbols = np.concatenate(([0], np.cumsum(np.isin(data, np.frombuffer(b"#*$%&|<>", np.uint8)), dtype=np.int64)))
+    head = np.zeros(len(data) + 1, np.int32)  # code points so far; a column's bytes number below 2^31
+    np.cumsum((data & 0xC0) != 0x80, dtype=np.int32, out=head[1:])
+    chars = (head[ends] - head[starts]).astype(np.int64)
+    del head
+    symbols = SYMBOL[data]
     # lines: from the start of a text or behind \n up to the next \n or the end of the text
     breaks = np.flatnonzero(data == 10)
-    begin = np.sort(np.concatenate((offsets[:-1], breaks + 1)))
-    begin = np.unique(begin)
+    begin = np.unique(np.concatenate((offsets[:-1], breaks + 1)))
     end = np.minimum(np.concatenate((begin[1:], [len(data)])), len(data))
     stop = end - ((end > begin) & (data[np.maximum(end - 1, 0)] == 10) if len(data) else 0)
     keys = span_hashes(data, begin, np.maximum(stop, begin)) if len(data) else np.empty(0, np.uint64)
@@ -115,7 +120,7 @@ def _measure_batch(column: pa.Array, limits: Limits) -> list[tuple]:
     for i in range(len(offsets) - 1):
         a, b = cut[i], cut[i + 1]
         n, total, dup_lines, repeat, base, kept, line_chars, shares = judge(words[a:b], chars[a:b], (on[a:b], keys[on[a:b]]), limits)
-        out.append((n, total, int(symbols[offsets[i + 1]] - symbols[offsets[i]]), dup_lines, repeat, base, kept, line_chars, shares))
+        out.append((n, total, int(np.count_nonzero(symbols[offsets[i] : offsets[i + 1]])), dup_lines, repeat, base, kept, line_chars, shares))
     return out
 
 
@@ -130,7 +135,7 @@ def measure(docs: DataFrame, limits: Limits = Limits(), key: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64(), pa.list_(pa.int64())]
         for batch in batches:
-            rows = _measure_batch(batch.column(own.index(text)), limits)
+            rows = [r for group in row_groups(batch.column(own.index(text))) for r in _measure_group(group, limits)]
             found = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
             kept = list(batch.columns) if carry else [batch.column(own.index(key))]
             yield pa.RecordBatch.from_arrays(kept + found, names=(own if carry else [key]) + mine)
