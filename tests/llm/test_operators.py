@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from keyloom.llm import chat, line_dedup, near_dedup, packing, pfor, quality_rules, queries, sentencepiece, suffix_dedup, topk, url_filter
+from keyloom.llm import chat, line_dedup, near_dedup, packing, pfor, quality_rules, queries, suffix_dedup, topk, url_filter
 from keyloom.llm.tokens import encoder, resolve
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, r_spans string"
@@ -281,32 +281,6 @@ def test_line_dedup_equals_brute_force(docs):
     assert {r.doc_id: tuple(r)[1:] for r in line_dedup.digest(docs).collect()} == want
 
 
-def test_sentencepiece_decodes_to_the_text(spark, docs):
-    pieces = sentencepiece.Pieces("piece_bpe_32k.model")
-    small = docs.where("length(text) < 3000 or text is null")
-    encoded = sentencepiece.encode(small, pieces)
-    back = {r.doc_id: r.text for r in sentencepiece.decode(encoded, pieces).collect()}
-    assert all(back[r.doc_id] == (r.text or "") for r in small.collect())
-
-
-def test_viterbi_equals_brute_force(spark):
-    pieces = sentencepiece.Pieces("piece_bpe_32k.model")
-    score = {p: s for p, _, s in pieces.rows}
-    ids = {p: i for p, i, _ in pieces.rows}
-    words = ["▁the", "▁tionsh", "▁ering", "▁aaa", "▁a"]
-    got = {r.word: list(r.ids) for r in sentencepiece.viterbi(sentencepiece.edges(spark.createDataFrame([(w,) for w in words], "word string"), pieces)).collect()}
-    names = {i: p for p, i in ids.items()}
-
-    def best(word):
-        if not word:
-            return 0.0
-        return max((score[word[:k]] + best(word[k:]) for k in range(1, len(word) + 1) if word[:k] in score), default=-1e18)
-
-    for w in words:
-        assert "".join(names[i] for i in got[w]) == w
-        assert abs(sum(score[names[i]] for i in got[w]) - best(w)) < 1e-9
-
-
 def test_url_rules_and_held_out_accuracy(spark):
     rng = random.Random(1)
     good = [f"https://a{rng.randint(0, 99)}.example.net/de/{rng.randint(0, 7)}{rng.randint(0, 999)}" for _ in range(400)]
