@@ -1,8 +1,10 @@
 """URL filter: longest-match rules, and a character language-model ratio for what no rule fits.
 
-Two variable-order Markov models over characters, one of accepted and one of rejected URLs,
-learn from every URL that a rule decides. Orders 0 to 4 are interpolated, each context counting
-as if it had 4 kinds of next byte (64 without one). The counts are exact: a table with a row for
+Two variable-order Markov models over the bytes of the UTF-8 text (a character of almost every URL is one
+byte), one of accepted and one of rejected URLs,
+learn from every URL that a rule decides. Orders 0 to 4 are interpolated by Witten and Bell's smoothing: a
+context that was seen n times with k kinds of next byte gives the next shorter one the weight k / (n + k). The
+first bytes of a text have its start in their contexts. The counts are exact: a table with a row for
 every 5-byte gram learnt, which grows with the corpus; shorter grams and contexts are its sums. The
 distinct grams of the URLs are joined to it order by order, and URLs meet their grams in chunks, so
 that a gram of all URLs is one row a chunk.
@@ -98,14 +100,15 @@ def ratios(asked: DataFrame, counts: DataFrame) -> DataFrame:
         frame = asked.select(suffix(order).alias("gram")).distinct()
         seen = counts.groupBy(suffix(order).alias("gram")).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
         context = F.shiftright("gram", BITS).alias("context")
-        whole = seen.groupBy(context).agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
+        kinds = [F.count_if(F.col(x) > 0).alias(f"kinds_{x}") for x in ("good", "bad")]
+        whole = seen.groupBy(context).agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"), *kinds)
         frame = frame.join(seen, "gram", "left").select("*", context).join(whole, "context", "left").na.fill(0)
         if order:
             frame = frame.withColumn("shorter", suffix(order - 1)).join(likely.withColumnRenamed("gram", "shorter"), "shorter")
         else:
             frame = frame.withColumns({"p_good": F.lit(1.0 / 256), "p_bad": F.lit(1.0 / 256)})
-        kinds = 4.0 if order else 64.0
-        p = lambda x: ((F.col(x) + kinds * F.col(f"p_{x}")) / (F.col(f"all_{x}") + kinds)).alias(f"p_{x}")  # noqa: B023, E731
+        mixed = lambda x: (F.col(x) + F.col(f"kinds_{x}") * F.col(f"p_{x}")) / (F.col(f"all_{x}") + F.col(f"kinds_{x}"))
+        p = lambda x: F.when(F.col(f"all_{x}") > 0, mixed(x)).otherwise(F.col(f"p_{x}")).alias(f"p_{x}")  # noqa: B023, E731
         likely = store.materialize(frame.select("gram", p("good"), p("bad")), "likely")
     return likely.select("gram", (F.log("p_good") - F.log("p_bad")).alias("ratio"))
 
