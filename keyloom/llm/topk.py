@@ -1,19 +1,21 @@
 """Exact top-k by inner product over an impact-ordered index, score at a time.
 
 Components become integers, floor(scale * x). In a block of vectors the postings of every
-dimension are put into segments by quantised impact: the bit length of the component's
-magnitude. Segments are processed from the highest impact down, for a block of queries at once,
-adding exact partial products. What a vector has left is bounded by the norms of the
+dimension (row and component, for components other than 0) are put into segments by quantised impact: the bit length
+of the component's magnitude. Segments are processed from the highest impact down, posting list by posting list, for
+the queries of a block that aren't settled yet, adding exact partial products. What a vector has left is bounded by the norms of the
 unprocessed rests of query and vector, known from the index (Cauchy-Schwarz). When at most
-`few` vectors a query can still reach its k-th best lower bound, the others are proven out,
-and the possible members are rescored exactly; without such proof every segment is processed,
+`few` vectors can still reach a query's k-th best lower bound, the others are proven out: the
+query is settled and its possible members are rescored exactly; without such proof every segment is processed,
 which is exact as well.
 
 Query blocks meet vector blocks in cells of bounded size; each cell gives its k best and a
 window takes the best of those. No row is left out and no cell grows with the data.
 
-Defined cases: vectors that are null, empty or hold a null or non-finite component take no part.
-Shorter vectors count as followed by zeros. Rows with one id count as one vector, the
+Every vector meets every block of queries, as exact answers need it to.
+
+Defined cases: vectors that are null or hold a null or non-finite component take no part.
+Shorter vectors, empty ones too, count as followed by zeros. Rows with one id count as one vector, the
 smallest array. Ties go to the smaller id. Scores must fit 64 bits. An empty table gives an
 empty table; extra columns are ignored.
 """
@@ -36,7 +38,7 @@ def integers(vector: Column, scale: float) -> Column:
 
 
 def usable(vector: Column) -> Column:
-    return (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))
+    return vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -44,19 +46,22 @@ def _bits(x: np.ndarray) -> np.ndarray:
 
 
 class ImpactIndex:
-    """A block of integer vectors with its segments by bit length, highest first, and the norms of what is left after each."""
+    """A block of integer vectors: posting lists in segments by bit length, highest first, and the norms of what is left after each."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order].astype(np.float64)
         bits = _bits(self.vectors)
-        self.segments, self.left = [], []
+        self.segments: list[list[tuple[int, np.ndarray, np.ndarray]]] = []
+        self.left: list[np.ndarray] = []
         levels = sorted(set(np.unique(bits).tolist()) - {0}, reverse=True)
-        for i in range(0, len(levels), 2):  # two bit lengths make one quantised impact
-            chosen = (bits == levels[i]) | (bits == levels[i + 1] if i + 1 < len(levels) else False)
-            self.segments.append(np.where(chosen, self.vectors, 0.0))
-            below = levels[i + 1] if i + 1 < len(levels) else levels[i]
-            rest = np.where(bits < below, self.vectors, 0.0)
+        for high, *low in (levels[i : i + 2] for i in range(0, len(levels), 2)):  # two bit lengths make one quantised impact
+            least = low[0] if low else high
+            dims, rows = np.nonzero(((bits <= high) & (bits >= least)).T)
+            cut = np.flatnonzero(np.diff(dims, prepend=-1))
+            lists = zip(dims[cut].tolist(), np.split(rows, cut[1:]), strict=True) if len(dims) else ()
+            self.segments.append([(d, r, self.vectors[r, d]) for d, r in lists])
+            rest = np.where(bits < least, self.vectors, 0.0)
             self.left.append(np.sqrt((rest * rest).sum(axis=1)) * (1 + 1e-9))
         self.largest = np.abs(self.vectors).max(initial=0.0)
 
@@ -69,25 +74,33 @@ class ImpactIndex:
         if np.abs(q).max(initial=0) * self.largest * max(1, q.shape[1]) >= EXACT:
             return self._wide(query_ids, queries, k)
         own = np.searchsorted(self.ids, query_ids)
-        hit = (own < n) & (self.ids[np.minimum(own, n - 1)] == query_ids)
+        own = np.where(self.ids[np.minimum(own, n - 1)] == query_ids, np.minimum(own, n - 1), -1)
         norm = np.sqrt((q * q).sum(axis=1)) * (1 + 1e-9)
-        scores = np.zeros((len(q), n))
-        possible = None
-        for segment, left in zip(self.segments, self.left, strict=True):
-            scores += q @ segment.T
-            spread = norm[:, None] * left[None, :]
-            low = scores - spread
-            low[np.flatnonzero(hit), own[hit]] = -np.inf
-            if n <= k:
-                continue
+        members: list[tuple[np.ndarray, np.ndarray]] = []  # places of queries and of their possible members
+        asked = np.arange(len(q))
+        scores = np.zeros((n, len(q)))
+        last = len(self.segments) - 1
+        if n <= k or last < 0:
+            members.append((np.repeat(asked, n), np.tile(np.arange(n), len(q))))
+            asked = asked[:0]
+        for at, (segment, left) in enumerate(zip(self.segments, self.left, strict=True)):
+            if not len(asked):
+                break
+            for d, rows, values in segment:
+                scores[rows] += values[:, None] * q[asked, d]
+            spread = left[:, None] * norm[asked]
+            low = (scores - spread).T
+            mine = np.flatnonzero(own[asked] >= 0)
+            low[mine, own[asked[mine]]] = -np.inf
             floor = np.partition(low, n - k, axis=1)[:, n - k]
-            possible = scores + spread >= floor[:, None]
-            if possible.sum(axis=1).max() <= few:
-                break  # proven: nothing else can be among the k best
-        if possible is None:
-            possible = np.ones((len(q), n), bool)
-        possible[np.flatnonzero(hit), own[hit]] = False
-        row, col = np.nonzero(possible)
+            possible = scores + spread >= floor
+            settled = (possible.sum(axis=0) <= few) | (at == last)  # proven: nothing else can be among the k best
+            row, col = np.nonzero(possible[:, settled])
+            members.append((asked[settled][col], row))
+            asked, scores = asked[~settled], scores[:, ~settled]
+        row, col = (np.concatenate(x) for x in zip(*members, strict=True))
+        other = own[row] != col
+        row, col = row[other], col[other]
         exact = np.einsum("ij,ij->i", q[row], self.vectors[col]).astype(np.int64)
         order = np.lexsort((self.ids[col], -exact, row))
         row, col, exact = row[order], col[order], exact[order]
@@ -132,7 +145,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 25
 
         index = ImpactIndex(mine["id"].to_numpy(), matrix(mine["v"]))
         ids, asked_for = asked["id"].to_numpy(), matrix(asked["v"])
-        parts = [index.search(ids[a : a + 256], asked_for[a : a + 256], k) for a in range(0, len(ids), 256)]
+        parts = [index.search(ids[a : a + 128], asked_for[a : a + 128], k) for a in range(0, len(ids), 128)]
         return pd.DataFrame({c: np.concatenate([p[i] for p in parts]) for i, c in enumerate(("query_id", "vec_id", "score"))})
 
     cells = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(cell, "query_id long, vec_id long, score long")
