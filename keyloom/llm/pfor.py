@@ -121,15 +121,17 @@ def decode_blocks(starts: np.ndarray, raw: np.ndarray, n_ids: int) -> np.ndarray
     return (diff + low[:, None]).reshape(-1)[:n_ids]
 
 
-def encode_segment(doc_ids: list[int], ids: list[bytes], share: float = 0.9) -> bytes:
+def encode_segment(doc_ids: list[int | None], ids: list[bytes], share: float = 0.9) -> bytes:
+    """The length of a document without a key is written as its complement, so that no key stands for none."""
     flat = np.frombuffer(b"".join(ids), "<u4")
     starts, blocks = encode_blocks(flat, share)
-    lengths = np.array([len(x) // 4 for x in ids], "<i8")
-    return b"".join((MAGIC, struct.pack("<QQQ", len(doc_ids), len(flat), len(starts) - 1), np.array(doc_ids, "<i8").tobytes(), lengths.tobytes(), starts.astype("<u8").tobytes(), blocks.tobytes()))
+    lengths = np.array([len(x) // 4 if k is not None else ~(len(x) // 4) for k, x in zip(doc_ids, ids, strict=True)], "<i8")
+    keys = np.array([0 if k is None else k for k in doc_ids], "<i8")
+    return b"".join((MAGIC, struct.pack("<QQQ", len(doc_ids), len(flat), len(starts) - 1), keys.tobytes(), lengths.tobytes(), starts.astype("<u8").tobytes(), blocks.tobytes()))
 
 
-def decode_segment(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc_ids, lengths, ids)."""
+def decode_segment(payload: bytes) -> tuple[np.ma.MaskedArray, np.ndarray, np.ndarray]:
+    """(doc_ids, masked where there is none, lengths, ids)."""
     if payload[:4] != MAGIC:
         raise ValueError("not a segment of patched frame-of-reference blocks")
     n_docs, n_ids, n_blocks = struct.unpack_from("<QQQ", payload, 4)
@@ -138,7 +140,7 @@ def decode_segment(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lengths = np.frombuffer(payload, "<i8", n_docs, at + 8 * n_docs)
     at += 16 * n_docs
     starts = np.frombuffer(payload, "<u8", n_blocks + 1, at)
-    return doc_ids, lengths, decode_blocks(starts, np.frombuffer(payload, np.uint8, offset=at + 8 * (n_blocks + 1)), n_ids)
+    return np.ma.array(doc_ids, mask=lengths < 0), np.where(lengths < 0, ~lengths, lengths), decode_blocks(starts, np.frombuffer(payload, np.uint8, offset=at + 8 * (n_blocks + 1)), n_ids)
 
 
 def read_block(payload: bytes, block: int) -> np.ndarray:
@@ -155,14 +157,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
 
     A shard is one range of keys; a task sorts its range and streams it, so memory holds a
     segment of about a million ids, or one document if that is longer. Null text: only the end
-    id. Rows with equal keys stay apart, ordered by text; a null key sorts first and is written as -1.
+    id. Rows with equal keys stay apart, ordered by text; a null key sorts first and stays null.
     """
     model = resolve(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(model).encode, end_id.to_bytes(4, "little")
         shard, segment = TaskContext.get().partitionId(), 0
-        keys: list[int] = []
+        keys: list[int | None] = []
         ids: list[bytes] = []
         size = 0
 
@@ -171,7 +173,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
 
         for batch in batches:
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys.append(-1 if k is None else k)
+                keys.append(k)
                 ids.append(encode(x or "") + end)
                 size += len(ids[-1]) // 4
                 if size >= SEGMENT_IDS:
@@ -200,7 +202,7 @@ def read_tokens(spark, path: str, digest: bool = True) -> DataFrame:
                 cut = np.concatenate(([0], np.cumsum(lengths)))
                 raw = ids.astype("<u4")
                 per = [zlib.crc32(raw[a:b]) if digest else raw[a:b].tolist() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(start + cut[:-1], pa.int64()), pa.array(lengths, pa.int64()), pa.array(per, kind)], names=["doc_id", "start", "n_tokens", name])
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids.data, pa.int64(), mask=doc_ids.mask), pa.array(start + cut[:-1], pa.int64()), pa.array(lengths, pa.int64()), pa.array(per, kind)], names=["doc_id", "start", "n_tokens", name])
 
     joined = segments.select("shard", "segment", "payload").join(starts, ["shard", "segment"]).select("start", "payload")
     return joined.mapInArrow(run, f"doc_id long, start long, n_tokens long, {name} {'long' if digest else 'array<long>'}")
