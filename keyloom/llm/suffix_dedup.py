@@ -281,8 +281,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
 CUT = "n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def cut_documents(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans (maximal removed runs) and kept (the remaining bytes) under names with a prefix of their own, `r_` if no column has it."""
+def cut_documents(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", whole_characters: bool = False) -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans (maximal removed runs) and kept (the remaining bytes; without those of characters cut in two, if asked) under names with a prefix of their own, `r_` if no column has it."""
     names, p = docs.columns, store.fresh(docs.columns, "r_")
     own = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
     docs = store.numbered(docs, own, f"{p}nth")
@@ -309,6 +309,8 @@ def cut_documents(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", te
                 sizes.append(len(raw))
                 removed.append(gone)
                 runs.append(n)
+                if whole_characters and len(parts) > 1:  # each part is of valid text, so only its edges can be broken
+                    parts = [x.decode("utf-8", "ignore").encode() for x in parts]
                 kept.append(b"".join(parts))
             found = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(list(batch.columns[: len(names)]) + found, names=[*names, *[p + x.split(" ")[0] for x in CUT.split(", ")]])
@@ -327,10 +329,8 @@ def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def clean_documents(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFrame:
     """docs without their repeats; bytes of a character cut in two go too. n_chars, where there is one, is counted anew."""
     p = store.fresh(docs.columns, "r_")
-    cut = cut_documents(docs, length, text=text)
-    changed = F.when(F.col(f"{p}n_removed") > 0, F.try_validate_utf8(F.col(f"{p}kept").cast("string"))).otherwise(F.col(text))
-    broken = F.when((F.col(f"{p}n_removed") > 0) & changed.isNull(), F.regexp_replace(F.make_valid_utf8(F.col(f"{p}kept").cast("string")), "�", "")).otherwise(changed)
-    out = cut.withColumn(text, broken)
+    cut = cut_documents(docs, length, text=text, whole_characters=True)
+    out = cut.withColumn(text, F.when(F.col(f"{p}n_removed") > 0, F.col(f"{p}kept").cast("string")).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(f"{p}n_removed") > 0, F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
