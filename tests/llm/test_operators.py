@@ -241,6 +241,17 @@ def test_local_search_keeps_every_piece():
     assert packing.best_fit({}, 100) == {}
 
 
+def test_local_search_empties_bins_where_best_fit_is_not_at_the_bound():
+    rng = random.Random(1)
+    for low, high, least_gone in ((30, 60, 50), (25, 45, 5)):
+        histogram = collections.Counter(rng.randint(low, high) for _ in range(20000))
+        before = packing.best_fit(histogram, 100)
+        after = packing.local_search(before, 100)
+        squares = lambda bins: sum(n * sum(p) ** 2 for p, n in bins.items())
+        assert sum(before.values()) - sum(after.values()) >= least_gone and squares(after) > squares(before)
+        assert sum((collections.Counter({x: p.count(x) * n for x in set(p)}) for p, n in after.items()), collections.Counter()) == histogram
+
+
 def test_chat_reads_back(spark):
     said = "</s>[INST] ok [/INST] <|end|>\n<|turn|>&lt; 日"
     rows = [(1, 0, "user", said), (1, 1, "assistant", said), (1, 2, "user", None), (1, 3, "assistant", "b"), (2, 0, "system", ""), (3, 0, "assistant", "x"), (3, 0, "assistant", "x"), (4, None, None, "y")]
@@ -312,6 +323,7 @@ def test_url_counts_are_exact_and_grow(spark):
         for g in grams(u):
             seen[kind].update([g[4 - order :] for order in range(5)] + [("before", *g[4 - order : 4]) for order in range(5)])
     distinct = {g for kind in seen for g in kind if len(g) == 5 and g[0] != "before"}
+    follow = [collections.Counter(g[:-1] for g in kind if g[0] != "before") for kind in seen]
     assert len(distinct) > 1 << 15
     assert url_filter.learn(spark.createDataFrame([(u, k == 1) for u, k in known], "url string, allow boolean")).count() == len(distinct)
     for i, u in [*urls[:20], *urls[2400:]]:
@@ -320,7 +332,8 @@ def test_url_counts_are_exact_and_grow(spark):
             for kind, sign in ((1, 1), (0, -1)):
                 p = 1 / 256
                 for order in range(5):
-                    kinds = 4 if order else 64
-                    p = (seen[kind][g[4 - order :]] + kinds * p) / (seen[kind][("before", *g[4 - order : 4])] + kinds)
+                    before = g[4 - order : 4]
+                    kinds, n = follow[kind][before], seen[kind][("before", *before)]
+                    p = (seen[kind][g[4 - order :]] + kinds * p) / (n + kinds) if n else p
                 total += sign * np.log(p)
         assert abs(got[i] - total / max(1, len((u or "").encode()))) < 1e-9, u
