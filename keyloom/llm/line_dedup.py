@@ -6,10 +6,13 @@ their count in a hashed count table over all lines, then by hash. Two lines of J
 similarity t or more share a token among their first n - ceil(t n) + 1 (prefix filter), have
 like sizes (length filter), and at their first common token enough tokens left (positional
 filter). Pairs that pass are verified on the whole token sets. A line goes if an earlier line (smaller
-doc_id, then position) is as similar, whether or not that one is removed itself.
+doc_id, then row, then position) is as similar, whether or not that one is removed itself.
+
+Prefix tokens that one line alone has are dropped where they meet; only tokens of two or more lines are
+stored, and only lines with such a token have their sets made a second time.
 
 Defined cases: null text stays null; lines without words are kept and never matched; words are
-`[^\\x20\\x09-\\x0D]+`. doc_id should be unique: rows that share one count as one document, and
+`[^\\x20\\x09-\\x0D]+`. Rows that share a doc_id are documents of their own, one after the other;
 rows with a null doc_id are returned untouched. Extra columns are kept; n_chars is counted anew. An
 empty table gives an empty table.
 """
@@ -19,7 +22,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.llm import store
@@ -29,13 +32,26 @@ COUNTS = 1 << 12  # entries of the count table: a fixed size, whatever the input
 HASH_BITS = 57
 
 
+ODD = (" ", "\t", "\x0b", "\f", "\r")
+LINE = ["doc_id", "nth", "pos"]
+
+
 def words(line: Column) -> Column:
-    return F.split(F.btrim(line, F.lit(" \t\x0b\f\r")), "[ \\t\\x0B\\f\\r]+")
+    """The words of a line that has one. Words between single spaces are cut without a pattern, which is ten times faster."""
+    odd = line.startswith(" ") | line.endswith(" ") | line.contains("  ")
+    for c in ODD[1:]:
+        odd = odd | line.contains(c)
+    return F.when(odd, F.split(F.btrim(line, F.lit("".join(ODD))), "[ \\t\\x0B\\f\\r]+")).otherwise(F.split(line, " "))
+
+
+def is_solid(line: Column) -> Column:
+    return F.char_length(F.btrim(line, F.lit("".join(ODD)))) > 0
 
 
-def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, pos (0-based), line: every line of every text."""
-    return docs.select(F.col(key).alias("doc_id"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line")).where("doc_id is not null")
+def lines_of(docs: DataFrame, key: str, text: str, nth: str) -> DataFrame:
+    """doc_id, nth, pos (0-based), line: every line with a word of every text."""
+    each = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.col(nth).alias("nth"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+    return each.where(is_solid(F.col("line")))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -66,82 +82,92 @@ def rarity(lines: DataFrame) -> Column:
 
 
 def prefixes(lines: DataFrame, percent: int) -> DataFrame:
-    """token, i (its rank in the line's order), n (tokens of the line), doc_id, pos for each prefix token."""
+    """token, the line's place, n (tokens of the line), i (the token's rank in its order) for each prefix token."""
     table = rarity(lines)
     mask = (1 << HASH_BITS) - 1
     ranked = lambda t: F.shiftleft(F.get(table, F.pmod(t, F.lit(COUNTS)).cast("int")), HASH_BITS).bitwiseOR(t.bitwiseAND(F.lit(mask)))
-    sets = lines.select("doc_id", "pos", tokens(F.col("line")).alias("t"))
-    ordered = sets.select("doc_id", "pos", F.sort_array(F.transform("t", ranked)).alias("t")).withColumn("n", F.size("t"))
+    sets = lines.select(*LINE, tokens(F.col("line")).alias("t"))
+    ordered = sets.select(*LINE, F.sort_array(F.transform("t", ranked)).alias("t")).withColumn("n", F.size("t"))
     size = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    return ordered.select("doc_id", "pos", "n", F.posexplode(F.slice("t", F.lit(1), size)).alias("i", "token"))
+    return ordered.select(*LINE, "n", F.posexplode(F.slice("t", F.lit(1), size)).alias("i", "token"))
 
 
 def similar_lines(lines: DataFrame, percent: int = 75) -> DataFrame:
-    """(doc_id, pos) of the lines that have an earlier line as similar. lines: doc_id, pos, line, without equal texts."""
-    prefix = store.materialize(prefixes(lines, percent), "prefix")  # read three times; hashing is dear
+    """Places of the lines that have an earlier line as similar. lines: places and line, without equal texts."""
+    held = F.count("*").over(Window.partitionBy("token"))
+    shared = store.materialize(prefixes(lines, percent).withColumn("held", held).where("held > 1").drop("held"), "shared")
+    store.release(lines.sparkSession)
+    sets = store.materialize(lines.join(shared.select(*LINE).distinct(), LINE, "left_semi").select(*LINE, tokens(F.col("line")).alias("t")), "sets")
+    store.release(lines.sparkSession)
     # each token's earliest line first: one candidate a token settles most lines of a large group
-    heads = prefix.groupBy("token").agg(F.min(F.struct("doc_id", "pos", "n", "i")).alias("h"), F.count("*").alias("lines")).where("lines > 1")
-    heads = store.materialize(heads.select("token", "h.*"), "heads")
-    settled = store.materialize(verified(candidates(heads, prefix, percent), lines, percent), "settled")
+    heads = store.materialize(shared.groupBy("token").agg(F.min(F.struct(*LINE, "n", "i")).alias("h")).select("token", "h.*"), "heads")
+    settled = verified(heads, shared, sets, percent)
     # the other lines meet every earlier line that shares a token
-    shared = prefix.join(heads.select("token"), "token", "left_semi")
-    open_lines = store.materialize(shared.join(settled, ["doc_id", "pos"], "left_anti"), "open")
+    open_lines = store.materialize(shared.join(settled, LINE, "left_anti"), "open")
     # only tokens that an open line has can make pairs
-    shared = prefix.join(open_lines.select("token").distinct(), "token", "left_semi")
-    rest = verified(candidates(shared, open_lines, percent), lines, percent)
-    return settled.unionByName(rest).distinct()
+    rest = verified(shared.join(open_lines.select("token").distinct(), "token", "left_semi"), open_lines, sets, percent)
+    found = store.materialize(settled.unionByName(rest).distinct(), "similar")
+    for table in (shared, sets, heads, settled, open_lines, rest):
+        store.discard(table)
+    return found
 
 
 def candidates(a: DataFrame, b: DataFrame, percent: int) -> DataFrame:
-    """Pairs of prefix rows that share a token and pass the order, length and positional filters."""
+    """Pairs of lines from prefix rows that share a token and pass the order, length and positional filters."""
     a, b = a.alias("a"), b.alias("b")
-    earlier = (F.col("a.doc_id") < F.col("b.doc_id")) | ((F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.pos") < F.col("b.pos")))
+    earlier = F.struct(*[F.col(f"a.{c}") for c in LINE]) < F.struct(*[F.col(f"b.{c}") for c in LINE])
     sizes = (100 * F.col("a.n") >= percent * F.col("b.n")) & (100 * F.col("b.n") >= percent * F.col("a.n"))
     # |x & y| >= t / (1 + t) * (|x| + |y|); at the first common token that one and the shorter rest are left
     rest = F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i"))
     positions = (100 + percent) * rest >= percent * (F.col("a.n") + F.col("b.n"))
     pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & earlier & sizes & positions)
-    return store.materialize(pairs.select(*[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("doc_id", "pos")]).distinct(), "pairs")
+    return pairs.select(*[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in LINE]).distinct()
 
 
-def verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, pos) of the later lines of the pairs that are similar on their whole token sets."""
+def verified(a: DataFrame, b: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Places of the lines of b that are similar, on their whole sets, to an earlier line of a; a and b are prefix rows."""
+    pairs = found = store.materialize(candidates(a, b, percent), "pairs")
     for side in "ab":
-        names = {"doc_id": f"doc_id_{side}", "pos": f"pos_{side}", "line": f"line_{side}"}
-        pairs = pairs.join(lines.select("doc_id", "pos", "line").withColumnsRenamed(names), [f"doc_id_{side}", f"pos_{side}"])
-
-    def alike(ta: Column, tb: Column) -> Column:
-        return let(F.size(F.array_intersect(ta, tb)), lambda common: 100 * common >= percent * (F.size(ta) + F.size(tb) - common))
-
-    kept = pairs.where(let(tokens(F.col("line_a")), lambda ta: let(tokens(F.col("line_b")), lambda tb: alike(ta, tb))))
-    return kept.select(F.col("doc_id_b").alias("doc_id"), F.col("pos_b").alias("pos")).distinct()
-
-
-def kept_lines(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, pos, line of the lines that stay. Distinct lines are stored in the shared folder: they are read several times."""
-    every = lines_of(docs, key, text)
-    solid = F.col("line").rlike("[^ \\t\\x0B\\f\\r]")
-    prints = [F.xxhash64("line").alias("k1"), F.xxhash64(F.reverse("line")).alias("k2")]
-    first = every.where(solid).groupBy(*prints).agg(F.min(F.struct("doc_id", "pos", "line")).alias("f")).select("f.doc_id", "f.pos", "f.line")
+        found = found.join(sets.withColumnsRenamed({c: f"{c}_{side}" for c in [*LINE, "t"]}), [f"{c}_{side}" for c in LINE])
+    size = lambda side: F.size(f"t_{side}")
+    alike = let(F.size(F.array_intersect("t_a", "t_b")), lambda common: 100 * common >= percent * (size("a") + size("b") - common))
+    found = store.materialize(found.where(alike).select(*[F.col(f"{c}_b").alias(c) for c in LINE]).distinct(), "verified")
+    store.discard(pairs)
+    return found
+
+
+def kept_lines(docs: DataFrame, percent: int, key: str, text: str, nth: str) -> DataFrame:
+    """Places of the lines with a word that stay. Distinct lines are stored in the shared folder: they are read several times."""
+    prints = [F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2")]
+    first = lines_of(docs, key, text, nth).groupBy(*prints).agg(F.min(F.struct(*LINE, "line")).alias("f")).select("f.*")
     first = store.materialize(first, "lines")
     store.release(docs.sparkSession)
-    later = store.materialize(similar_lines(first, percent), "similar")
+    later = similar_lines(first, percent)
+    kept = store.materialize(first.select(*LINE).join(later, LINE, "left_anti"), "kept")
+    store.discard(first)
+    store.discard(later)
     store.release(docs.sparkSession)
-    return first.join(later, ["doc_id", "pos"], "left_anti").unionByName(every.where(~solid).select("doc_id", "pos", "line"))
+    return kept
 
 
 def dedup_lines(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the lines that stay, and `l_lines` and `l_removed` (lines with words, before and gone; a longer prefix if a column has that one)."""
     names, p = docs.columns, store.fresh(docs.columns, "l_")
-    stay = kept_lines(docs, percent, key, text)
-    solid = F.col("line").rlike("[^ \\t\\x0B\\f\\r]").cast("long")
-    texts = stay.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "line")).alias("l"), F.sum(solid).alias(f"{p}kept"))
-    texts = texts.select(F.col("doc_id").alias(f"{p}id"), F.array_join(F.transform(F.sort_array("l"), lambda x: x["line"]), "\n").alias(f"{p}text"), f"{p}kept")
-    counts = F.size(F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^ \\t\\x0B\\f\\r]"))).cast("long")
-    total = docs.select("*", F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(counts).alias(f"{p}lines"))
-    joined = total.join(texts, F.col(key) == F.col(f"{p}id"), "left")
+    docs = store.numbered(docs, F.col(key), f"{p}nth")
+    stay = kept_lines(docs, percent, key, text, f"{p}nth")
+    places = stay.groupBy("doc_id", "nth").agg(F.collect_list("pos").alias(f"{p}pos")).withColumnsRenamed({"doc_id": f"{p}id", "nth": f"{p}no"})
+    joined = docs.join(places, (F.col(key) == F.col(f"{p}id")) & (F.col(f"{p}nth") == F.col(f"{p}no")), "left")
     known = F.col(key).isNotNull() & F.col(text).isNotNull()
-    out = joined.withColumns({text: F.when(known, F.coalesce(f"{p}text", F.lit(""))).otherwise(F.col(text)), f"{p}removed": F.when(known, F.col(f"{p}lines") - F.coalesce(f"{p}kept", F.lit(0).cast("long"))).otherwise(0)})
+    none = F.array().cast("array<int>")
+    split = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    joined = joined.withColumn(f"{p}all", split).withColumn(f"{p}pos", F.coalesce(f"{p}pos", none))
+    each = F.sequence(F.lit(0), F.size(f"{p}all") - 1)
+    joined = joined.withColumn(f"{p}blank", F.filter(each, lambda i: ~is_solid(F.get(f"{p}all", i))))
+    stays = F.transform(F.sort_array(F.concat(f"{p}pos", f"{p}blank")), lambda i: F.get(f"{p}all", i))
+    lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(f"{p}all") - F.size(f"{p}blank")).cast("long")
+    removed = F.when(known, lines - F.size(f"{p}pos")).otherwise(0).cast("long")
+    out = joined.withColumns({f"{p}lines": lines, f"{p}removed": removed})
+    out = out.withColumn(text, F.when(F.col(f"{p}removed") > 0, F.array_join(stays, "\n")).otherwise(F.col(text)))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col(f"{p}removed") > 0, F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*names, f"{p}lines", f"{p}removed")

@@ -50,11 +50,13 @@ def release(spark: SparkSession) -> None:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete a table that materialize() wrote and that is no longer read."""
+    """Delete a table that materialize() wrote and that nothing lazy reads any more."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if not folder.startswith(shared_dir(spark)) and shared_dir(spark).split(":", 1)[-1].lstrip("/") not in folder:
+            raise ValueError(f"{folder} isn't a table of the shared folder")
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
 
