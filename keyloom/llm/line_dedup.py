@@ -93,27 +93,52 @@ def prefixes(lines: DataFrame, percent: int) -> DataFrame:
 
 
 def similar_lines(lines: DataFrame, percent: int = 75) -> DataFrame:
-    """Places of the lines that have an earlier line as similar. lines: places and line, without equal texts."""
+    """Places of the lines that have an earlier line as similar. lines: a stored table of places and line, without equal texts; it is deleted."""
+    spark = lines.sparkSession
     held = F.count("*").over(Window.partitionBy("token"))
     shared = store.materialize(prefixes(lines, percent).withColumn("held", held).where("held > 1").drop("held"), "shared")
-    store.release(lines.sparkSession)
-    sets = store.materialize(lines.join(shared.select(*LINE).distinct(), LINE, "left_semi").select(*LINE, tokens(F.col("line")).alias("t")), "sets")
-    store.release(lines.sparkSession)
-    # each token's earliest line first: one candidate a token settles most lines of a large group
+    store.release(spark)
+    # each token's earliest line is its head: one candidate a token settles most lines of a large group
     heads = store.materialize(shared.groupBy("token").agg(F.min(F.struct(*LINE, "n", "i")).alias("h")).select("token", "h.*"), "heads")
-    settled = verified(heads, shared, sets, percent)
-    # the other lines meet every earlier line that shares a token
-    open_lines = store.materialize(shared.join(settled, LINE, "left_anti"), "open")
-    # only tokens that an open line has can make pairs
-    rest = verified(shared.join(open_lines.select("token").distinct(), "token", "left_semi"), open_lines, sets, percent)
-    found = store.materialize(settled.unionByName(rest).distinct(), "similar")
-    for table in (shared, sets, heads, settled, open_lines, rest):
+    headed = store.materialize(candidates(heads, shared, percent), "headed")
+    # of a line's heads the one with most prefix tokens in common comes first
+    first = headed.groupBy(*named("b")).agg(F.max_by(F.struct(*named("a")), F.struct("common", *named("a"))).alias("head"))
+    first = first.select(*[F.col(f"{c}_b").alias(c) for c in LINE], "head.*")
+    asked = shared.select(*LINE).distinct().join(first, LINE, "left")
+    sets = store.materialize(lines.join(asked, LINE).select(*LINE, *named("a"), tokens(F.col("line")).alias("t")), "sets")
+    store.discard(lines)
+    store.release(spark)
+    set_a = sets.select(*[F.col(c).alias(f"{c}_a") for c in LINE], F.col("t").alias("t_a"))
+    with_head = sets.where(F.col("doc_id_a").isNotNull()).withColumnsRenamed({c: f"{c}_b" for c in [*LINE, "t"]})
+    settled = store.materialize(with_head.join(set_a, named("a")).where(alike(percent)).select(*[F.col(f"{c}_b").alias(c) for c in LINE]), "settled")
+    store.release(spark)
+    # then the other heads of the lines that are still open
+    others = headed.select(*named("a"), *named("b")).join(settled.withColumnsRenamed({c: f"{c}_b" for c in LINE}), named("b"), "left_anti")
+    tried = sets.select(*[F.col(c).alias(f"{c}_b") for c in LINE], *named("a"))
+    by_others = verified(others.join(tried, [*named("a"), *named("b")], "left_anti"), sets, percent)
+    store.release(spark)
+    known = settled.unionByName(by_others)
+    # at last every earlier line that shares a token; only tokens that an open line has can make pairs
+    open_lines = store.materialize(shared.join(known, LINE, "left_anti"), "open")
+    rest = candidates(shared.join(open_lines.select("token").distinct(), "token", "left_semi"), open_lines, percent).drop("common")
+    by_rest = verified(rest.join(headed, [*named("a"), *named("b")], "left_anti"), sets, percent)
+    found = store.materialize(known.unionByName(by_rest).distinct(), "similar")
+    for table in (shared, heads, headed, sets, settled, by_others, open_lines, by_rest):
         store.discard(table)
     return found
 
 
+def named(side: str) -> list[str]:
+    return [f"{c}_{side}" for c in LINE]
+
+
+def alike(percent: int) -> Column:
+    sizes = F.size("t_a") + F.size("t_b")
+    return let(F.size(F.array_intersect("t_a", "t_b")), lambda common: 100 * common >= percent * (sizes - common))
+
+
 def candidates(a: DataFrame, b: DataFrame, percent: int) -> DataFrame:
-    """Pairs of lines from prefix rows that share a token and pass the order, length and positional filters."""
+    """Pairs of lines whose prefix rows share a token and pass the order, length and positional filters, with the number of such tokens."""
     a, b = a.alias("a"), b.alias("b")
     earlier = F.struct(*[F.col(f"a.{c}") for c in LINE]) < F.struct(*[F.col(f"b.{c}") for c in LINE])
     sizes = (100 * F.col("a.n") >= percent * F.col("b.n")) & (100 * F.col("b.n") >= percent * F.col("a.n"))
@@ -121,30 +146,29 @@ def candidates(a: DataFrame, b: DataFrame, percent: int) -> DataFrame:
     rest = F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i"))
     positions = (100 + percent) * rest >= percent * (F.col("a.n") + F.col("b.n"))
     pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & earlier & sizes & positions)
-    return pairs.select(*[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in LINE]).distinct()
+    return pairs.groupBy(*[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in LINE]).agg(F.count("*").alias("common"))
 
 
-def verified(a: DataFrame, b: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Places of the lines of b that are similar, on their whole sets, to an earlier line of a; a and b are prefix rows."""
-    pairs = found = store.materialize(candidates(a, b, percent), "pairs")
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Places of the later lines of the pairs that are similar on their whole sets; stored."""
+    pairs = found = store.materialize(pairs, "pairs")
     for side in "ab":
-        found = found.join(sets.withColumnsRenamed({c: f"{c}_{side}" for c in [*LINE, "t"]}), [f"{c}_{side}" for c in LINE])
-    size = lambda side: F.size(f"t_{side}")
-    alike = let(F.size(F.array_intersect("t_a", "t_b")), lambda common: 100 * common >= percent * (size("a") + size("b") - common))
-    found = store.materialize(found.where(alike).select(*[F.col(f"{c}_b").alias(c) for c in LINE]).distinct(), "verified")
+        found = found.join(sets.select(*LINE, "t").withColumnsRenamed({c: f"{c}_{side}" for c in [*LINE, "t"]}), named(side))
+    found = store.materialize(found.where(alike(percent)).select(*[F.col(f"{c}_b").alias(c) for c in LINE]).distinct(), "verified")
     store.discard(pairs)
     return found
 
 
 def kept_lines(docs: DataFrame, percent: int, key: str, text: str, nth: str) -> DataFrame:
-    """Places of the lines with a word that stay. Distinct lines are stored in the shared folder: they are read several times."""
+    """Places of the lines with a word that stay; stored."""
     prints = [F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2")]
     first = lines_of(docs, key, text, nth).groupBy(*prints).agg(F.min(F.struct(*LINE, "line")).alias("f")).select("f.*")
     first = store.materialize(first, "lines")
     store.release(docs.sparkSession)
+    places = store.materialize(first.select(*LINE), "places")
     later = similar_lines(first, percent)
-    kept = store.materialize(first.select(*LINE).join(later, LINE, "left_anti"), "kept")
-    store.discard(first)
+    kept = store.materialize(places.join(later, LINE, "left_anti"), "kept")
+    store.discard(places)
     store.discard(later)
     store.release(docs.sparkSession)
     return kept
