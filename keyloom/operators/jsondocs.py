@@ -113,19 +113,34 @@ def changed(doc: Column, change: Callable[[str], str | None]) -> Column:
     return run(doc)
 
 
+def _place(doc: Column, steps: list) -> Column:
+    """The path of each document; an index below 0 counts from the end of that document's array."""
+    out = F.lit("$")
+    for s in steps:
+        if isinstance(s, int) and s < 0:
+            size = F.json_array_length(F.call_function("get_json_object", doc, out))
+            out = F.when(size + s >= 0, F.concat(out, F.lit("["), (size + s).cast("string"), F.lit("]")))
+        else:
+            out = F.concat(out, F.lit(f"[{s}]" if isinstance(s, int) else f"['{s}']"))
+    return out
+
+
 def get(doc: Column, path: str) -> Column:
-    """Text of the value; `$` gives it in an array, or an empty array."""
+    """JSON text of the value; `$` gives it in an array, or an empty array. A legacy path without a match gives null."""
     steps, rooted = parse_path(path)
-    jvm = "$" + "".join(f"[{s}]" if isinstance(s, int) else f"['{s}']" for s in steps)
-    value = F.get_json_object(doc, jvm)
-    return F.when(value.isNull(), F.lit("[]")).otherwise(F.concat(F.lit("["), value, F.lit("]"))) if rooted else value
+    place = _place(doc, steps)
+    value = F.try_variant_get(F.try_parse_json(doc), place, "variant")
+    kind = F.schema_of_variant(value)
+    # numbers, arrays and objects as they are written; strings quoted
+    text = F.when(kind == "VOID", "null").when(kind == "STRING", F.to_json(value)).otherwise(F.call_function("get_json_object", doc, place))
+    text = F.when(value.isNotNull(), text)
+    return F.when(text.isNull(), F.lit("[]")).otherwise(F.concat(F.lit("["), text, F.lit("]"))) if rooted else text
 
 
 def type_of(doc: Column, path: str) -> Column:
     """null, boolean, integer, number, string, array or object."""
     steps, _ = parse_path(path)
-    jvm = "$" + "".join(f"[{s}]" if isinstance(s, int) else f"['{s}']" for s in steps)
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(doc), jvm, "variant"))
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(doc), _place(doc, steps), "variant"))
     return (
         F.when(kind == "VOID", "null").when(kind == "BOOLEAN", "boolean").when(kind == "BIGINT", "integer").when(kind == "STRING", "string")
         .when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").when(kind.isNotNull(), "number")

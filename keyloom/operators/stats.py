@@ -63,20 +63,29 @@ def breaches(acked: DataFrame, surviving: DataFrame, must_have_ms: int) -> DataF
 
 
 def token_bucket(log: DataFrame, rate: float) -> DataFrame:
-    """Admission in time order: one token a command, `rate` a second, burst of `rate`. A fold over each namespace's sorted log."""
+    """Admission of each namespace's commands in time order: one token a command, `rate` a second, burst of `rate`.
+
+    A bucket's state depends on every admission before, so a namespace is one sequence; a task streams its sorted
+    namespaces and holds one state and one batch, however long the log."""
+    from collections.abc import Iterator
+
     import pandas as pd
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_ms", "seq"])
-        tokens, last, out = rate, None, []
-        for t in pdf["ts_ms"]:
-            tokens = rate if last is None else min(rate, tokens + (t - last) / 1000 * rate)
-            last = t
-            out.append(tokens >= 1)
-            tokens -= tokens >= 1
-        return pdf.assign(admitted=out)
-
-    return log.select("ns", "key", "seq", "ts_ms").groupBy("ns", "key").applyInPandas(fold, "ns string, key long, seq long, ts_ms long, admitted boolean")
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ns = last = None
+        tokens = rate
+        for pdf in batches:
+            admitted = []
+            for name, t in zip(pdf["ns"].tolist(), pdf["ts_ms"].tolist(), strict=True):
+                if name != ns:
+                    ns, last, tokens = name, t, rate
+                tokens, last = min(rate, tokens + (t - last) / 1000 * rate), t
+                admitted.append(tokens >= 1)
+                tokens -= tokens >= 1
+            yield pdf.assign(admitted=admitted)
+
+    ordered = log.select("ns", "key", "seq", "ts_ms").repartition("ns").sortWithinPartitions("ns", "ts_ms", "seq")
+    return ordered.mapInPandas(fold, "ns string, key long, seq long, ts_ms long, admitted boolean")
 
 
 def hysteresis(samples: DataFrame, shed_below: float, reopen_above: float) -> DataFrame:

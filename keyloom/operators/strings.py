@@ -47,9 +47,9 @@ def parse_int(text: Column) -> Column:
 
 
 def parse_float(text: Column) -> Column:
-    """Finite or infinite doubles; NaN and anything else are null."""
-    value = text.try_cast("double")
-    return F.when(F.isnan(value), None).otherwise(value)
+    """Finite or infinite doubles; NaN, suffixes, white space, hexadecimal digits and anything else are null."""
+    plain = text.rlike(r"^(?i)[+-]?(?:inf|infinity|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?)$")
+    return F.when(plain, text.try_cast("double"))
 
 
 def float_text(value: Column) -> Column:

@@ -52,6 +52,13 @@ def lex_walk(z: DataFrame, low: str | None, high: str | None, *, open_low: bool
     return flagged.withColumn("island", starts).where("inside and island = 1").drop("inside", "island")
 
 
+def lex_page(z: DataFrame, low: str | None, high: str | None, *, open_low: bool = False, open_high: bool = False, reverse: bool = False, offset: int = 0, limit: int = -1) -> DataFrame:
+    """lex_walk() in either direction, from `offset` on at most `limit` (negative: all) members of a key."""
+    found = ranked(lex_walk(z, low, high, open_low=open_low, open_high=open_high), reverse)
+    found = found.where(F.col("rank") >= offset)
+    return found if limit < 0 else found.where(F.col("rank") < offset + limit)
+
+
 def combine(inputs: list[DataFrame], weights: list[float], how: str = "sum", every: bool = False) -> DataFrame:
     """Weighted union (or, with `every`, intersection) of (member, score) inputs; NaN is 0 after weighting and after combining."""
     zero = lambda c: F.when(F.isnan(c), 0.0).otherwise(c)
@@ -67,5 +74,14 @@ def upsert(log: DataFrame, *order: str) -> DataFrame:
 
 
 def format_score(s: Column) -> Column:
-    """Integral scores without a point, as text; others as the shortest decimal text."""
-    return F.when((s == F.floor(s)) & (F.abs(s) < 1e17), s.cast("long").cast("string")).otherwise(s.cast("string"))
+    """Integral scores without a point; others as the shortest decimal digits, never with an exponent; inf and -inf."""
+    text = s.cast("string")
+    sign, mantissa = F.when(s < 0, "-").otherwise(""), F.regexp_extract(text, r"^-?(\d+\.\d+)E", 1)
+    power = F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int")
+    digits = F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), "0+$", "")
+    n = F.char_length(digits)
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    large = F.when(n <= power + 1, F.rpad(digits, power + 1, F.lit("0"))).otherwise(F.concat(F.substr(digits, F.lit(1), power + 1), F.lit("."), F.substr(digits, power + 2, n)))
+    plain = F.when(power.isNull(), text).otherwise(F.concat(sign, F.when(power < 0, small).otherwise(large)))
+    whole = (s == F.floor(s)) & (F.abs(s) < 1e17)
+    return F.when(F.abs(s) == float("inf"), F.concat(sign, F.lit("inf"))).when(whole, s.cast("long").cast("string")).otherwise(plain)

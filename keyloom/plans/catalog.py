@@ -824,3 +824,6 @@ def bloom_no_false_negative(spark, sf):
 def bloom_exists(spark, sf):
     pages = m.table(spark, sf, "pages").where("page_id % 2 = 0").select(F.encode("url", "utf-8").alias("item"), F.col("page_id").alias("at"))
     return bloom.any_holds(_items(spark, sf), bloom.chain(pages, 100_000, 0.001)).groupBy("half", "found").agg(F.count("*").alias("n"))
+
+
+from keyloom.plans import lifecycle  # noqa: E402, F401 - its queries join the registry
