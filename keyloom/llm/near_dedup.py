@@ -8,9 +8,10 @@
    paired with the bucket's smallest id only; a pair survives if the odd sketches allow the
    similarity, and becomes a link if the full sets confirm it.
 3. Components of those links are found by alternating stars. Buckets that still hold several
-   components get newly drawn heads once; then the members outside a bucket's largest
-   component are paired with the rest of the bucket, again through the sketches and the full
-   sets. So no link is lost to the star shape, and pairs are made only between components.
+   components get newly drawn heads once; then the members of what buckets still hold several are
+   joined on their rarest shingles across components, and those pairs go through the sketches and
+   the full sets as well. So no link is lost to the star shape, and pairs are made only between
+   components that nearly reach the similarity.
 
 A pair of similarity 0.75 meets in no band with probability 5e-6. A sketch of samples lets
 pass everything whose estimate is within six standard deviations of the threshold; the bitmap of
@@ -27,14 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.llm import store
 from keyloom.llm.bytetext import column_bytes, mix, row_groups, shingle_hashes, span_hashes, word_spans
 
 SHINGLE, BANDS, ROWS, BITS = 5, 32, 4, 512
-ROUNDS = 1  # of newly drawn heads before the buckets' rest is compared
+ROUNDS = 1  # of newly drawn heads before the buckets' rest is joined on rare shingles
 SAMPLES = BANDS * ROWS
 _rng = np.random.default_rng(20240717)
 MULTIPLY = _rng.integers(1, 1 << 63, (SAMPLES, 1), dtype=np.uint64) | np.uint64(1)
@@ -135,6 +136,35 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def rare_pairs(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (id, component) of different components that may be as similar; every pair that is, is among them.
+
+    Shingles are ordered by the number of members that have them. A text of n shingles shares one of its first
+    n - ceil(2t / (1 + t) n) + 1 with one of the first n - ceil(t n) + 1 of any text as similar and no shorter. Texts that have
+    less than that in common, as those made from one template, differ in all of these, so they make no pair.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = pa.array([found.view(np.int64) for found in shingle_sets(batch.column(2))], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], sets], names=["id", "component", "t"])
+
+    texts = members.join(docs.select(F.col("doc_id").alias("id"), "text"), "id").dropDuplicates(["id"])
+    sets = texts.select("id", "component", "text").mapInArrow(run, "id long, component long, t array<long>")
+    each = store.materialize(sets.select("id", "component", F.size("t").cast("long").alias("n"), F.explode("t").alias("token")), "shingles")
+    held = each.groupBy("token").agg(F.count("*").alias("held"), (F.min("component") < F.max("component")).alias("crosses"))
+    order = Window.partitionBy("id").orderBy("held", "token")
+    ranked = each.join(held, "token").withColumn("i", F.row_number().over(order)).where("crosses")
+    rest = F.col("n") - F.col("i") + 1  # tokens from this one on
+    prefix = store.materialize(ranked.where(100 * rest >= percent * F.col("n")).select("id", "component", "n", "token", rest.alias("rest")), "prefix")
+    store.discard(each)
+    a, b = prefix.where((100 + percent) * F.col("rest") >= 2 * percent * F.col("n")).alias("a"), prefix.alias("b")
+    no_shorter = F.struct("a.n", "a.id") < F.struct("b.n", "b.id")
+    enough = (100 + percent) * F.least("a.rest", "b.rest") >= percent * (F.col("a.n") + F.col("b.n"))
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.component") != F.col("b.component")) & no_shorter & enough)
+    return met.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in the edges (a < b): large and small stars in turn, until nothing changes."""
     edges = store.materialize(edges.select("a", "b").distinct(), "edges")
@@ -212,16 +242,11 @@ def cluster(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str =
         asked = asked.unionByName(pairs)
         found = merged(found, store.materialize(confirm(store.materialize(screened(pairs), "screened"), docs, percent), "linked"))
 
-    # what is left is held against the rest of its buckets, so that no link is missed
+    # what is left is joined on its rarest shingles, so that no link is missed and pairs far below one are not made
     inside = mixed_members(found)
     if inside is not None:
-        main = inside.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-        inside = store.materialize(inside.join(store.materialize(main, "main"), "key").join(sketch, "id"), "inside")
-        outside = inside.where("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("component_x"), F.col("s").alias("s_a"))
-        other = inside.select("key", F.col("id").alias("y"), F.col("component").alias("component_y"), F.col("main").alias("main_y"), F.col("s").alias("s_b"))
-        met = outside.join(other, "key").where((F.col("component_x") != F.col("component_y")) & ((F.col("component_y") == F.col("main_y")) | (F.col("x") < F.col("y"))) & possible)
-        pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        pairs = store.materialize(pairs.join(asked, ["a", "b"], "left_anti"), "pairs")
+        met = rare_pairs(inside.select("id", "component").distinct(), docs, percent)
+        pairs = store.materialize(screened(met).join(asked, ["a", "b"], "left_anti"), "pairs")
         found = merged(found, store.materialize(confirm(pairs, docs, percent), "linked"))
     classes = groups.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(*prints, F.coalesce("component", "rep").alias("component_id"))
     plain = signs.select("doc_id", *prints)
