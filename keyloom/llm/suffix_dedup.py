@@ -173,8 +173,9 @@ def _scan(make, length: int):
                 if spans is not None:
                     yield spans
             for level in family.rest():
+                order = np.lexsort((level["at"], level["nth"], level["doc"]))  # entries of a document side by side take less of the shuffle
                 for at in range(0, len(level), 1 << 17):
-                    yield _rows(level[at : at + (1 << 17)])
+                    yield _rows(level[order[at : at + (1 << 17)]])
 
     return run
 
