@@ -1,15 +1,15 @@
 """Line deduplication as an exact set-similarity join, with DataFrame functions only.
 
 A line's tokens are the distinct hashes of its five-word shingles (one token for a shorter
-line). Lines with equal text fall together first. Tokens are ordered by rarity: by the class of
-their count in a hashed count table over all lines, then by hash. Two lines of Jaccard
-similarity t or more share a token among their first n - ceil(t n) + 1 (prefix filter), have
-like sizes (length filter), and at their first common token enough tokens left (positional
-filter). Pairs that pass are verified on the whole token sets. A line goes if an earlier line (smaller
-doc_id, then row, then position) is as similar, whether or not that one is removed itself.
-
-Prefix tokens that one line alone has are dropped where they meet; only tokens of two or more lines are
-stored, and only lines with such a token have their sets made a second time.
+line). Lines with equal text fall together first. Two lines of Jaccard similarity t or more
+share l tokens among their first n - ceil(t n) + l in any order of the tokens (prefix filter). First
+the order is by hash and l is 2, or all that the line must share if that is less: lines without as
+many prefix tokens that another line has too are done, which leaves few but near copies. For the
+lines left whole sets are made and their tokens counted over all of these; the order then is by that
+count, rarest first, and l is 1, so tokens that many lines have by chance or in a common passage make no
+pairs. Pairs have like sizes (length filter), and at their first common token enough tokens left
+(positional filter). Pairs that pass are verified on the whole token sets. A line goes if an earlier
+line (smaller doc_id, then row, then position) is as similar, whether or not that one is removed itself.
 
 Defined cases: null text stays null; lines without words are kept and never matched; words are
 `[^\\x20\\x09-\\x0D]+`. Rows that share a doc_id are documents of their own, one after the other;
@@ -21,15 +21,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.llm import store
 
 SHINGLE = 5
-COUNTS = 1 << 12  # entries of the count table: a fixed size, whatever the input
-HASH_BITS = 57
+COMMON = 2  # shared prefix tokens asked of a line before its whole set is made
 
 
 ODD = (" ", "\t", "\x0b", "\f", "\r")
@@ -70,52 +68,59 @@ def tokens(line: Column) -> Column:
     return let(words(line), of)
 
 
-def rarity(lines: DataFrame) -> Column:
-    """One array of COUNTS classes (bit length of the count), computed over all lines."""
-    split = lines.select(words(F.col("line")).alias("w"))
-    each = split.select("w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - SHINGLE, F.lit(0)))).alias("i"))
-    token = F.when(F.size("w") >= SHINGLE, F.xxhash64(*[F.get("w", F.col("i") + j) for j in range(SHINGLE)])).otherwise(F.xxhash64(F.concat_ws(" ", "w")))
-    counts = each.select(F.pmod(token, F.lit(COUNTS)).alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
-    classes = counts.select("slot", F.char_length(F.bin("n")).cast("long").alias("class"))
-    found = {r["slot"]: r["class"] for r in classes.collect()}  # at most COUNTS rows
-    return F.lit(np.array([found.get(i, 0) for i in range(COUNTS)], np.int64))
+def ordered_tokens(lines: DataFrame) -> DataFrame:
+    """The line's place, n and t: its tokens in the order of their hashes."""
+    return lines.select(*LINE, F.sort_array(tokens(F.col("line"))).alias("t")).withColumn("n", F.size("t"))
+
+
+def least_shared(n: Column, percent: int) -> Column:
+    """Tokens that a line of n has in common with any similar line, at least."""
+    return F.ceil(n * percent / 100).cast("int")
+
+
+def promising(lines: DataFrame, percent: int) -> DataFrame:
+    """Places of the lines that share as many tokens of a prefix as similar lines do; the prefix is longer by one for each further token."""
+    needed = least_shared(F.col("n"), percent)
+    asked = F.least(F.lit(COMMON), needed)
+    each = ordered_tokens(lines).select(*LINE, asked.alias("asked"), F.explode(F.slice("t", F.lit(1), F.col("n") - needed + asked)).alias("token"))
+    met = each.withColumn("held", F.count("*").over(Window.partitionBy("token"))).where("held > 1")
+    return met.groupBy(*LINE).agg(F.count("*").alias("met"), F.min("asked").alias("asked")).where("met >= asked").select(*LINE)
+
 
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """token, the line's place, n (tokens of the line), i (the token's rank in its order) for each prefix token that two or more of the lines have.
 
-def prefixes(lines: DataFrame, percent: int) -> DataFrame:
-    """token, the line's place, n (tokens of the line), i (the token's rank in its order) for each prefix token."""
-    table = rarity(lines)
-    mask = (1 << HASH_BITS) - 1
-    ranked = lambda t: F.shiftleft(F.get(table, F.pmod(t, F.lit(COUNTS)).cast("int")), HASH_BITS).bitwiseOR(t.bitwiseAND(F.lit(mask)))
-    sets = lines.select(*LINE, tokens(F.col("line")).alias("t"))
-    ordered = sets.select(*LINE, F.sort_array(F.transform("t", ranked)).alias("t")).withColumn("n", F.size("t"))
-    size = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    return ordered.select(*LINE, "n", F.posexplode(F.slice("t", F.lit(1), size)).alias("i", "token"))
+    The order is by the number of lines that have the token, then by hash. Tokens of one line alone come first; a line that has so many of them that its prefix ends there can't be similar to any."""
+    each = sets.select(*LINE, F.size("t").alias("n"), F.explode("t").alias("token"))
+    met = each.withColumn("held", F.count("*").over(Window.partitionBy("token"))).where("held > 1")
+    rare = met.groupBy(*LINE, "n").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("t"))
+    alone = F.col("n") - F.size("t")
+    size = F.size("t") - least_shared(F.col("n"), percent) + 1
+    cut = rare.where(size > 0).select(*LINE, "n", alone.alias("alone"), F.posexplode(F.slice("t.token", F.lit(1), size)).alias("i", "token"))
+    return cut.select(*LINE, "n", (F.col("alone") + F.col("i")).alias("i"), "token")
 
 
 def similar_lines(lines: DataFrame, percent: int = 75) -> DataFrame:
     """Places of the lines that have an earlier line as similar. lines: a stored table of places and line, without equal texts; it is deleted."""
     spark = lines.sparkSession
-    held = F.count("*").over(Window.partitionBy("token"))
-    shared = store.materialize(prefixes(lines, percent).withColumn("held", held).where("held > 1").drop("held"), "shared")
+    hopeful = store.materialize(promising(lines, percent), "promising")
+    store.release(spark)
+    sets = store.materialize(lines.join(hopeful, LINE).select(*LINE, tokens(F.col("line")).alias("t")), "sets")
+    store.discard(lines)
+    store.discard(hopeful)
+    store.release(spark)
+    shared = store.materialize(prefixes(sets, percent), "shared")
     store.release(spark)
     # each token's earliest line is its head: one candidate a token settles most lines of a large group
     heads = store.materialize(shared.groupBy("token").agg(F.min(F.struct(*LINE, "n", "i")).alias("h")).select("token", "h.*"), "heads")
     headed = store.materialize(candidates(heads, shared, percent), "headed")
     # of a line's heads the one with most prefix tokens in common comes first
     first = headed.groupBy(*named("b")).agg(F.max_by(F.struct(*named("a")), F.struct("common", *named("a"))).alias("head"))
-    first = first.select(*[F.col(f"{c}_b").alias(c) for c in LINE], "head.*")
-    asked = shared.select(*LINE).distinct().join(first, LINE, "left")
-    sets = store.materialize(lines.join(asked, LINE).select(*LINE, *named("a"), tokens(F.col("line")).alias("t")), "sets")
-    store.discard(lines)
-    store.release(spark)
-    set_a = sets.select(*[F.col(c).alias(f"{c}_a") for c in LINE], F.col("t").alias("t_a"))
-    with_head = sets.where(F.col("doc_id_a").isNotNull()).withColumnsRenamed({c: f"{c}_b" for c in [*LINE, "t"]})
-    settled = store.materialize(with_head.join(set_a, named("a")).where(alike(percent)).select(*[F.col(f"{c}_b").alias(c) for c in LINE]), "settled")
-    store.release(spark)
+    first = store.materialize(first.select("head.*", *named("b")), "first")
+    settled = verified(first, sets, percent)
     # then the other heads of the lines that are still open
     others = headed.select(*named("a"), *named("b")).join(settled.withColumnsRenamed({c: f"{c}_b" for c in LINE}), named("b"), "left_anti")
-    tried = sets.select(*[F.col(c).alias(f"{c}_b") for c in LINE], *named("a"))
-    by_others = verified(others.join(tried, [*named("a"), *named("b")], "left_anti"), sets, percent)
+    by_others = verified(others.join(first, [*named("a"), *named("b")], "left_anti"), sets, percent)
     store.release(spark)
     known = settled.unionByName(by_others)
     # at last every earlier line that shares a token; only tokens that an open line has can make pairs
@@ -123,7 +128,7 @@ def similar_lines(lines: DataFrame, percent: int = 75) -> DataFrame:
     rest = candidates(shared.join(open_lines.select("token").distinct(), "token", "left_semi"), open_lines, percent, complete=True).drop("common")
     by_rest = verified(rest.join(headed, [*named("a"), *named("b")], "left_anti"), sets, percent)
     found = store.materialize(known.unionByName(by_rest).distinct(), "similar")
-    for table in (shared, heads, headed, sets, settled, by_others, open_lines, by_rest):
+    for table in (shared, heads, headed, first, sets, settled, by_others, open_lines, by_rest):
         store.discard(table)
     return found
 

@@ -43,3 +43,21 @@ def test_an_empty_table_and_clashing_names(spark):
     df = spark.createDataFrame([(1, "a\na", "x", 5, 6)], "doc_id long, text string, l_pos string, nth int, L_removed int")
     out = line_dedup.clean_documents(df)
     assert out.columns == df.columns and [tuple(r) for r in out.collect()] == [(1, "a", "x", 5, 6)]
+
+
+def test_a_common_passage_makes_no_pairs(spark, monkeypatch):
+    """Short lines with one passage in common, each with a near copy of its own."""
+    monkeypatch.setattr(line_dedup, "COUNTS", 1, raising=False)  # a count table as full as a large input makes it, if there is one
+    lines = [f"one passage that all have {d} x{d}" for d in range(300)]
+    rows = [*enumerate(lines), *((300 + d, line + " more") for d, line in enumerate(lines))]
+    made, write = [], line_dedup.store.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(line_dedup.store, "materialize", counted)
+    got = {r.doc_id: r.n_removed for r in line_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: int(d >= 300) for d in range(600)}
+    assert sum(n for name, n in made if name in ("headed", "pairs")) <= 1800
