@@ -125,8 +125,8 @@ def similar_lines(lines: DataFrame, percent: int = 75) -> DataFrame:
     known = settled.unionByName(by_others)
     # at last every earlier line that shares a token; only tokens that an open line has can make pairs
     open_lines = store.materialize(shared.join(known, LINE, "left_anti"), "open")
-    rest = candidates(shared.join(open_lines.select("token").distinct(), "token", "left_semi"), open_lines, percent, complete=True).drop("common")
-    by_rest = verified(rest.join(headed, [*named("a"), *named("b")], "left_anti"), sets, percent)
+    rest = candidates(shared.join(open_lines.select("token").distinct(), "token", "left_semi"), open_lines, percent)
+    by_rest = verified(possible(rest.join(headed, [*named("a"), *named("b")], "left_anti"), shared, percent), sets, percent)
     found = store.materialize(known.unionByName(by_rest).distinct(), "similar")
     for table in (shared, heads, headed, first, sets, settled, by_others, open_lines, by_rest):
         store.discard(table)
@@ -142,24 +142,27 @@ def alike(percent: int) -> Column:
     return let(F.size(F.array_intersect("t_a", "t_b")), lambda common: 100 * common >= percent * (sizes - common))
 
 
-def candidates(a: DataFrame, b: DataFrame, percent: int, complete: bool = False) -> DataFrame:
-    """Pairs of lines whose prefix rows share a token and pass the order, length and positional filters, with the number of such tokens.
-
-    `complete` says that a has every prefix token that its lines share with lines of b; then the number bounds the overlap."""
+def candidates(a: DataFrame, b: DataFrame, percent: int) -> DataFrame:
+    """Pairs of lines whose prefix rows share a token that can be their first common one, by order, length and place, with the number of such tokens."""
     a, b = a.alias("a"), b.alias("b")
     earlier = F.struct(*[F.col(f"a.{c}") for c in LINE]) < F.struct(*[F.col(f"b.{c}") for c in LINE])
     sizes = (100 * F.col("a.n") >= percent * F.col("b.n")) & (100 * F.col("b.n") >= percent * F.col("a.n"))
     # |x & y| >= t / (1 + t) * (|x| + |y|); at the first common token that one and the shorter rest are left
     rest = F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i"))
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & earlier & sizes)
-    pairs = met.groupBy(*[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in LINE]).agg(F.count("*").alias("common"), F.max(rest).alias("rest"), F.max("a.n").alias("n_a"), F.max("b.n").alias("n_b"))
-    needed = percent * (F.col("n_a") + F.col("n_b"))
-    possible = (100 + percent) * F.col("rest") >= needed
-    if complete:
-        # of two prefixes the one that ends at the rarer token has met all its matches; the rest of that line is no longer than this
-        behind = F.ceil(F.greatest("n_a", "n_b") * percent / 100) - 1
-        possible = possible & ((100 + percent) * (F.col("common") + behind) >= needed)
-    return pairs.where(possible).drop("rest", "n_a", "n_b")
+    can_be_first = (100 + percent) * rest >= percent * (F.col("a.n") + F.col("b.n"))
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & earlier & sizes & can_be_first)
+    return met.groupBy(*[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in LINE]).agg(F.count("*").alias("common"))
+
+
+def possible(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """The pairs that can be similar by the number of tokens that their whole prefixes have in common."""
+    whole = shared.groupBy(*LINE, "n").agg(F.collect_list("token").alias("p"))
+    for side in "ab":
+        pairs = pairs.join(whole.withColumnsRenamed({c: f"{c}_{side}" for c in [*LINE, "n", "p"]}), named(side))
+    # of two prefixes the one that ends at the rarer token has met all its matches; the rest of that line is no longer than this
+    behind = least_shared(F.greatest("n_a", "n_b"), percent) - 1
+    common = F.size(F.array_intersect("p_a", "p_b"))
+    return pairs.where((100 + percent) * (common + behind) >= percent * (F.col("n_a") + F.col("n_b"))).select(*named("a"), *named("b"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
