@@ -169,7 +169,7 @@ def path_ids(word: Column, path: Column, pieces: Pieces) -> Column:
 
 
 def vocabulary(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
-    """word, n (occurrences), ids, and what digest() adds up (n_ids, ids_sum, ids_print, decoded_chars, decodes) of every distinct word; stored in the shared folder."""
+    """word, n (occurrences), ids of every distinct word; stored in the shared folder."""
     spark = docs.sparkSession
     counted = docs.select(F.explode(words(F.col(text), pieces)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     counted = store.materialize(counted.withColumn("wid", F.monotonically_increasing_id()), "words")
@@ -177,13 +177,9 @@ def vocabulary(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame
     dealt = counted.repartition(max(1, -(-counted.count() // TASK_WORDS)), "wid")
     found = viterbi(edges(dealt, pieces), pieces).join(dealt, "wid")
     found = found.select("word", "n", path_ids(F.col("word"), F.col("path"), pieces).alias("ids"))
-    raw = pieces.raw()
-    decoded = F.decode(F.unhex(F.array_join(F.transform("ids", lambda i: F.get(raw, i)), "")), "utf-8")
     # a task has about TASK_WORDS groups, more than Spark would hold before it sorts instead
     with store.setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(4 * TASK_WORDS)):
-        found = found.withColumn("decoded", decoded)
-        ids_sum = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)
-        known = store.materialize(found.select("word", "n", "ids", F.size("ids").alias("n_ids"), ids_sum.alias("ids_sum"), F.xxhash64("ids").alias("ids_print"), F.char_length("decoded").alias("decoded_chars"), (F.col("decoded") == F.col("word")).alias("decodes")), "vocabulary")
+        known = store.materialize(found, "vocabulary")
     store.discard(counted)
     return known
 
@@ -201,15 +197,15 @@ def frequent_from(known: DataFrame, dictionary: int, dictionary_bytes: int) -> i
     return n
 
 
-def word_ids(docs: DataFrame, pieces: Pieces, keys: list[str], text: str = "text", dictionary: int = 1 << 17, dictionary_bytes: int = 1 << 23, columns: tuple[str, ...] = ("ids",)) -> DataFrame:
-    """keys, pos, word and the vocabulary's columns: every word of every row with its ids; one row with nulls for a row without words."""
+def word_ids(docs: DataFrame, pieces: Pieces, keys: list[str], text: str = "text", dictionary: int = 1 << 17, dictionary_bytes: int = 1 << 23) -> DataFrame:
+    """keys, pos, word, ids: every word of every row with its ids; one row with nulls for a row without words."""
     known = vocabulary(docs, pieces, text)
     is_frequent = F.col("n") >= frequent_from(known, dictionary, dictionary_bytes)
-    own = ["word", *columns]
+    own = ["word", "ids"]
     frequent = known.where(is_frequent).select(*own)
     each = docs.select(*keys, F.posexplode_outer(words(F.col(text), pieces)).alias("pos", "word"))
     # the frequent words, and every hot one among them, never shuffle
-    found = each.join(F.broadcast(frequent), "word", "left").where(F.col(columns[0]).isNotNull() | F.col("word").isNull()).select(*keys, "pos", *own)
+    found = each.join(F.broadcast(frequent), "word", "left").where(F.col("ids").isNotNull() | F.col("word").isNull()).select(*keys, "pos", *own)
     missing = each.where("word is not null").join(F.broadcast(frequent.select("word")), "word", "left_anti")
     return found.unionByName(missing.join(known.where(~is_frequent).select(*own), "word").select(*keys, "pos", *own))
 
@@ -220,32 +216,42 @@ def rows_apart(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, list[st
     return store.numbered(docs.select(F.col(key), F.col(text).alias("text" if key != "text" else "_text")), F.col(key), nth), [key, nth]
 
 
+def gathered(docs: DataFrame, pieces: Pieces, keys: list[str], text: str = "text") -> DataFrame:
+    """keys, n_words, ids of every row; keys tell rows apart."""
+    each = word_ids(docs, pieces, keys, text).groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("pos", "ids")))).alias("w"))
+    return each.select(*keys, F.size("w").cast("long").alias("n_words"), F.flatten("w.ids").alias("ids"))
+
+
 def encode(docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ids of every row."""
     docs, keys = rows_apart(docs, key, text)
-    each = word_ids(docs, pieces, keys, docs.columns[1])
-    gathered = each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("pos", "ids")))).alias("w"))
-    return gathered.select(key, F.flatten("w.ids").alias("ids"))
+    return gathered(docs, pieces, keys, docs.columns[1]).select(key, "ids")
+
+
+def text_of(ids: str, pieces: Pieces) -> Column:
+    """The text of a column of ids."""
+    raw = pieces.raw()
+    text = F.replace(F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(raw, i)), "")), "utf-8"), F.lit(SPACE), F.lit(" "))
+    return F.coalesce(F.substr(text, F.lit(2), F.char_length(text)), F.lit(""))
 
 
 def decode(encoded: DataFrame, pieces: Pieces, key: str = "doc_id") -> DataFrame:
     """key, text from key, ids, row by row."""
-    raw = pieces.raw()
-    text = F.replace(F.decode(F.unhex(F.array_join(F.transform("ids", lambda i: F.get(raw, i)), "")), "utf-8"), F.lit(SPACE), F.lit(" "))
-    return encoded.select(key, F.coalesce(F.substr(text, F.lit(2), F.char_length(text)), F.lit("")).alias("text"))
+    return encoded.select(key, text_of("ids", pieces).alias("text"))
 
 
 def digest(docs: DataFrame, model: str) -> DataFrame:
-    """Of every row: doc_id, n_words, n_pieces, ids_sum, ids_print (xor over words of a hash of place and the ids' hash), and, from the decoded ids, decoded_chars and whether every word decodes to itself."""
+    """Of every row, encoded and decoded as a whole: doc_id, n_words, n_pieces, ids_sum, ids_print (hash of all its ids in order), decoded_chars, and whether the text decoded from its ids has the hash of its own, with `▁` as spaces."""
+    pieces = Pieces(model)
     docs, keys = rows_apart(docs, "doc_id", "text")
-    each = word_ids(docs, Pieces(model), keys, columns=("n_ids", "ids_sum", "ids_print", "decoded_chars", "decodes"))
-    zero = F.lit(0).cast("long")
-    measured = each.groupBy(*keys).agg(
-        F.count("word").alias("n_words"),
-        F.coalesce(F.sum("n_ids"), zero).alias("n_pieces"),
-        F.coalesce(F.sum("ids_sum"), zero).alias("ids_sum"),
-        F.coalesce(F.bit_xor(F.when(F.col("word").isNotNull(), F.xxhash64("pos", "ids_print"))), zero).alias("ids_print"),
-        F.coalesce(F.sum("decoded_chars") - 1, zero).alias("decoded_chars"),
-        F.coalesce(F.bool_and("decodes"), F.lit(True)).alias("decodes"),
+    own = F.xxhash64(F.replace(F.coalesce("text", F.lit("")), F.lit(SPACE), F.lit(" ")))
+    back = gathered(docs.withColumn("text_print", own), pieces, [*keys, "text_print"]).withColumn("decoded", text_of("ids", pieces))
+    return back.select(
+        "doc_id",
+        "n_words",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("ids_sum"),
+        F.xxhash64("ids").alias("ids_print"),
+        F.char_length("decoded").cast("long").alias("decoded_chars"),
+        (F.xxhash64("decoded") == F.col("text_print")).alias("decodes"),
     )
-    return measured.drop(keys[1])

@@ -76,3 +76,12 @@ def test_the_dictionary_keeps_to_its_bounds(spark, pieces):
         chosen = known.where(f"n >= {n}").collect()
         assert len(chosen) <= size and sum(len(r.word) + 8 for r in chosen) <= room
     assert n == 1
+
+
+def test_the_digest_is_of_whole_encoded_and_decoded_texts(spark, docs, pieces):  # noqa: F811
+    F = sentencepiece.F
+    encoded = sentencepiece.encode(docs, pieces).select("doc_id", "ids", F.xxhash64("ids").alias("ids_print"))
+    want = {r.doc_id: (r.ids_print, len(r.ids), sum(r.ids)) for r in encoded.collect()}
+    got = sentencepiece.digest(docs, "piece_bpe_32k.model").collect()
+    assert {r.doc_id: (r.ids_print, r.n_pieces, r.ids_sum) for r in got} == want and all(r.decodes for r in got)
+    assert {r.doc_id: r.decoded_chars for r in got} == {i: len(t or "") for i, t in enumerate(texts())}
