@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from keyloom.llm import store
 from keyloom.llm.bytetext import column_bytes, mix, row_groups, shingle_hashes, span_hashes, word_spans
+from keyloom.llm.workers import frugal
 
 SHINGLE, BANDS, ROWS, BITS = 5, 32, 4, 512
 ROUNDS = 1  # of newly drawn heads before the buckets' rest is joined on rare shingles
@@ -110,7 +111,7 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             )
 
     one_each = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    return one_each.mapInArrow(run, "doc_id long, n_shingles long, print_one long, print_two long, bands array<long>, odd array<long>, whole array<long>")
+    return one_each.mapInArrow(frugal(run), "doc_id long, n_shingles long, print_one long, print_two long, bands array<long>, odd array<long>, whole array<long>")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -150,7 +151,7 @@ def rare_pairs(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], sets], names=["id", "component", "t"])
 
     texts = members.join(docs.select(F.col("doc_id").alias("id"), "text"), "id").dropDuplicates(["id"])
-    sets = texts.select("id", "component", "text").mapInArrow(run, "id long, component long, t array<long>")
+    sets = texts.select("id", "component", "text").mapInArrow(frugal(run), "id long, component long, t array<long>")
     each = store.materialize(sets.select("id", "component", F.size("t").cast("long").alias("n"), F.explode("t").alias("token")), "shingles")
     held = each.groupBy("token").agg(F.count("*").alias("held"), (F.min("component") < F.max("component")).alias("crosses"))
     order = Window.partitionBy("id").orderBy("held", "token")

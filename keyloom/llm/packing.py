@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.llm import store
-from keyloom.llm.tokens import encoder, resolve
+from keyloom.llm.tokens import lent, resolve
 
 Pattern = tuple[int, ...]
 
@@ -204,21 +204,22 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int, key: str
     model = resolve(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(model).encode, end_id.to_bytes(4, "little")
+        end = end_id.to_bytes(4, "little")
         task, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
-        for batch in batches:
-            rows: list[list] = [[] for _ in range(7)]
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(x or "") + end
-                n = len(ids) // 4
-                at, i = 0, 0
-                while at < n:
-                    size = (n - at) % capacity or capacity
-                    for col, v in zip(rows, (k, i, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]), task, seen[size]), strict=True):
-                        col.append(v)
-                    seen[size] += 1
-                    at, i = at + size, i + 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"])
+        with lent(model) as known:
+            for batch in batches:
+                rows: list[list] = [[] for _ in range(7)]
+                for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    ids = known.encode(x or "") + end
+                    n = len(ids) // 4
+                    at, i = 0, 0
+                    while at < n:
+                        size = (n - at) % capacity or capacity
+                        for col, v in zip(rows, (k, i, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]), task, seen[size]), strict=True):
+                            col.append(v)
+                        seen[size] += 1
+                        at, i = at + size, i + 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, piece long, start long, length long, ids_crc32 long, task long, nth long")
 

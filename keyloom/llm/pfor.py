@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.llm import store
-from keyloom.llm.tokens import encoder, resolve
+from keyloom.llm.tokens import lent, resolve
 
 BLOCK = 128
 MAGIC = b"PFB1"
@@ -162,7 +162,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
     model = resolve(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(model).encode, end_id.to_bytes(4, "little")
+        end = end_id.to_bytes(4, "little")
         shard, segment = TaskContext.get().partitionId(), 0
         keys: list[int | None] = []
         ids: list[bytes] = []
@@ -171,14 +171,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([segment], pa.int64()), pa.array([size], pa.int64()), pa.array([encode_segment(keys, ids, share)], pa.binary())], names=["shard", "segment", "n_ids", "payload"])
 
-        for batch in batches:
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys.append(k)
-                ids.append(encode(x or "") + end)
-                size += len(ids[-1]) // 4
-                if size >= SEGMENT_IDS:
-                    yield flush()
-                    segment, keys, ids, size = segment + 1, [], [], 0
+        with lent(model) as known:
+            for batch in batches:
+                for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    keys.append(k)
+                    ids.append(known.encode(x or "") + end)
+                    size += len(ids[-1]) // 4
+                    if size >= SEGMENT_IDS:
+                        yield flush()
+                        segment, keys, ids, size = segment + 1, [], [], 0
         if keys:
             yield flush()
 

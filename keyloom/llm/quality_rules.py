@@ -28,6 +28,7 @@ from pyspark.sql.types import StructType
 
 from keyloom.llm import store
 from keyloom.llm.bytetext import column_bytes, mix, row_groups, span_hashes, word_spans
+from keyloom.llm.workers import frugal
 
 
 @dataclass(frozen=True)
@@ -143,7 +144,7 @@ def measure(docs: DataFrame, limits: Limits = Limits(), key: str = "doc_id", tex
     schema = StructType([*(frame if carry else docs.select(key)).schema.fields])  # add() changes its own object
     for field in StructType.fromDDL(MEASURES):
         schema = schema.add(p + field.name, field.dataType)
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(frugal(run), schema)
 
 
 def assess(docs: DataFrame, limits: Limits = Limits(), key: str = "doc_id", text: str = "text") -> DataFrame:

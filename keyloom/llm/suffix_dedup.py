@@ -35,6 +35,7 @@ from pyspark.sql.types import StructType
 
 from keyloom.llm import store
 from keyloom.llm.bytetext import CHUNK, INV, POW, TABLE, column_bytes, mix
+from keyloom.llm.workers import frugal
 
 ANCHOR = 32
 LENGTH = 100
@@ -266,14 +267,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
 
     def over_all(found: DataFrame) -> DataFrame:
         dealt = found.repartition(F.coalesce("anchor", F.xxhash64("doc_id", "nth", "at")))
-        return dealt.sortWithinPartitions("anchor", "context", "doc_id", "nth", "at").mapInArrow(_meet(length), FOUND)
+        return dealt.sortWithinPartitions("anchor", "context", "doc_id", "nth", "at").mapInArrow(frugal(_meet(length)), FOUND)
 
-    first = store.materialize(over_all(docs.mapInArrow(_scan(from_texts, length), FOUND)), "runs")
+    first = store.materialize(over_all(docs.mapInArrow(frugal(_scan(from_texts, length)), FOUND)), "runs")
     store.release(spark)
     edges = first.where("anchor is not null").groupBy("doc_id", "nth").agg(F.collect_list(F.struct("at", "n", "anchor")).alias("runs"))
     # null ids have been given the least long above
     texts = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    second = over_all(texts.join(edges, ["doc_id", "nth"]).mapInArrow(_scan(from_edges, length), FOUND))
+    second = over_all(texts.join(edges, ["doc_id", "nth"]).mapInArrow(frugal(_scan(from_edges, length)), FOUND))
     second = store.materialize(second.where("anchor is null").select("doc_id", "nth", "at", "n"), "windows")
     store.release(spark)
     return first.where("anchor is null").select("doc_id", "nth", "at", "n").unionByName(second)
@@ -319,7 +320,7 @@ def cut_documents(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", te
     schema = StructType([docs.schema[x] for x in names])  # add() changes its own object
     for field in CUT.split(", "):
         schema = schema.add(p + field.split(" ")[0], field.split(" ")[1])
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(frugal(run), schema)
 
 
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -1,15 +1,21 @@
 """Byte-level BPE through the tokenizers library, with its results kept for each word.
 
 A text is cut only where the tokenizer's own pre-tokenizer always cuts, and a word's ids
-come from the library's model once; so ids equal those of encoding the whole text.
+come from the library's model once; so ids equal those of encoding the whole text. What a
+worker has learnt serves its later tasks, and goes when none has come for a while.
 """
 
 from __future__ import annotations
 
 import os
+import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import regex
 
+from keyloom.llm.workers import give_back
+
 #: fixed values: the pre-tokenizer pattern and the printable stand-ins for bytes of byte-level BPE
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -65,8 +71,15 @@ class Encoder:
             return b"".join(map(self.pieces.__getitem__, PATTERN.findall(text)))
         return b"".join(map(self.words.__getitem__, text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")))
 
+    def forget(self) -> None:
+        self.pieces.clear()
+        self.words.clear()
+
 
 _encoders: dict[str, Encoder] = {}
+_forgetting: threading.Timer | None = None
+
+IDLE_SECONDS = 2.0  # between two tasks of a stage less time passes
 
 
 def encoder(path: str) -> Encoder:
@@ -76,6 +89,27 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    """Drop what this worker's encoders have learnt: some hundred MB, which the executor's later stages need."""
+    for each in _encoders.values():
+        each.forget()
+    give_back()
+
+
+@contextmanager
+def lent(path: str) -> Iterator[Encoder]:
+    """The worker's encoder for one task. If no other task asks for it within IDLE_SECONDS, it forgets; in the middle of a task that would cost time only."""
+    global _forgetting
+    if _forgetting is not None:
+        _forgetting.cancel()
+    try:
+        yield encoder(path)
+    finally:
+        _forgetting = threading.Timer(IDLE_SECONDS, forget)
+        _forgetting.daemon = True
+        _forgetting.start()
+
+
 def resolve(name_or_path: str) -> str:
     """A path as it is; a bare file name is looked up among the installed public tokenizers."""
     if "/" in name_or_path:
