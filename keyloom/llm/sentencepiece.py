@@ -12,7 +12,8 @@ log-probabilities; pieces then score -log(id + 2), as Zipf's law has it, and the
 the library's greedy merges; it always decodes to the same text.
 
 Words meet their ids by a broadcast of the most frequent ones (at most `dictionary` words of at most `dictionary_bytes`
-bytes together, so hot words of any length are among them) and, for the others, by a shuffle join.
+bytes together, so hot words of any length are among them) and, for the others, by a shuffle join. The words of a
+text are put together where the whole text was dealt to.
 
 Defined cases: null and empty texts have no words and no ids. Every row is encoded by itself, also rows that share a
 doc_id or have none; `encode` and `digest` give one row for each. Extra columns are ignored. A text of any length is
@@ -24,6 +25,8 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +37,8 @@ from keyloom.llm.tokens import resolve
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 TASK_WORDS = 20_000  # distinct words whose lattices one task folds, about
+PARTS = 2  # of the texts, dealt one after the other
+TASK_BYTES = 6 << 20  # of texts whose words one task puts together, about
 BLOCK = 64  # characters of a word that are cut out at once
 ID_BITS, SIZE_BITS = 24, 8  # of an edge: end, 255 - characters, id
 NO_PIECE = (1 << ID_BITS) - 1
@@ -197,39 +202,58 @@ def frequent_from(known: DataFrame, dictionary: int, dictionary_bytes: int) -> i
     return n
 
 
-def word_ids(docs: DataFrame, pieces: Pieces, keys: list[str], text: str = "text", dictionary: int = 1 << 17, dictionary_bytes: int = 1 << 23) -> DataFrame:
-    """keys, pos, word, ids: every word of every row with its ids; one row with nulls for a row without words."""
-    known = vocabulary(docs, pieces, text)
-    store.release(docs.sparkSession)
-    is_frequent = F.col("n") >= frequent_from(known, dictionary, dictionary_bytes)
-    own = ["word", "ids"]
-    frequent = known.where(is_frequent).select(*own)
-    each = docs.select(*keys, F.posexplode_outer(words(F.col(text), pieces)).alias("pos", "word"))
-    # the frequent words, and every hot one among them, never shuffle
-    found = each.join(F.broadcast(frequent), "word", "left").where(F.col("ids").isNotNull() | F.col("word").isNull()).select(*keys, "pos", *own)
-    missing = each.where("word is not null").join(F.broadcast(frequent.select("word")), "word", "left_anti")
-    return found.unionByName(missing.join(known.where(~is_frequent).select(*own), "word").select(*keys, "pos", *own))
-
-
 def rows_apart(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, list[str]]:
     """docs' key and text with a number that tells rows with one key apart, and the names of key and number."""
     nth = "nth" if key != "nth" else "_nth"
     return store.numbered(docs.select(F.col(key), F.col(text).alias("text" if key != "text" else "_text")), F.col(key), nth), [key, nth]
 
 
-def gathered(docs: DataFrame, pieces: Pieces, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, n_words, ids of every row; keys tell rows apart."""
+def gathered(docs: DataFrame, pieces: Pieces, keys: list[str], use: Callable[[DataFrame], DataFrame], text: str = "text", carry: tuple[str, ...] = (), dictionary: int = 1 << 17, dictionary_bytes: int = 1 << 23) -> DataFrame:
+    """use(rows) of keys, carry, n_words, ids of every row, stored; keys are a column and a number that tells rows apart, and `use` works row by row.
+
+    A text is dealt whole, and its frequent words are looked up and put together where it went; only other words are
+    shuffled one by one. Texts are dealt in PARTS, one after the other, so no more of them are on the way at once."""
+    spark = docs.sparkSession
+    known = vocabulary(docs, pieces, text)
+    store.release(spark)
+    size = known.agg(F.sum(F.col("n") * F.octet_length("word"))).first()[0] or 0
+    # with fewer than a join asks for, the texts put together would be shuffled again
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (PARTS * TASK_BYTES)))
+    is_frequent = F.col("n") >= frequent_from(known, dictionary, dictionary_bytes)
     # half as many bytes on the way where the model's ids allow it
     narrow = "array<short>" if max([i for _, i, _ in pieces.rows] + [*pieces.bytes.values(), pieces.unknown]) < 1 << 15 else "array<int>"
-    each = word_ids(docs, pieces, keys, text).withColumn("ids", F.col("ids").cast(narrow))
-    each = each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("pos", "ids")))).alias("w"))
-    return each.select(*keys, F.size("w").cast("long").alias("n_words"), F.flatten("w.ids").cast("array<int>").alias("ids"))
+    own = ["word", F.col("ids").cast(narrow).alias("ids")]
+    frequent = store.materialize(known.where(is_frequent).select(*own), "frequent")
+    # one column that is never null or constant: a join finds rows without a key, and no exchange follows where rows were dealt by it
+    key, nth = map(F.col, keys)
+    place = store.fresh(docs.columns, "p_") + "place"
+    docs = docs.withColumn(place, F.concat(F.when(key.isNull(), "n").otherwise("k"), F.coalesce(key.cast("string"), F.lit("")), F.lit("/"), nth.cast("string")))
+    at = F.struct("pos", "ids")
+    missing = docs.select(place, F.posexplode(words(F.col(text), pieces)).alias("pos", "word")).join(F.broadcast(frequent.select("word")), "word", "left_anti")
+    rare = store.materialize(missing.join(known.where(~is_frequent).select(*own), "word").select(place, "pos", "ids"), "rare")
+    store.discard(known)
+    store.release(spark)
+    done = []
+    # a task's groups are bounded by TASK_BYTES, so they need no sort
+    with store.setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(TASK_BYTES)):
+        for part in range(PARTS):
+            here = F.pmod(F.xxhash64(place), F.lit(PARTS)) == part
+            each = docs.where(here).repartition(tasks, place).select(place, *keys, *carry, F.posexplode_outer(words(F.col(text), pieces)).alias("pos", "word"))
+            found = each.join(F.broadcast(frequent), "word", "left").groupBy(place, *keys, *carry).agg(F.collect_list(F.when(F.col("ids").isNotNull(), at)).alias("f"))
+            others = rare.where(here).repartition(tasks, place).groupBy(place).agg(F.collect_list(at).alias("r"))
+            both = found.join(others.hint("shuffle_hash"), place, "left")
+            row = both.select(*keys, *carry, F.sort_array(F.when(F.col("r").isNull(), F.col("f")).otherwise(F.concat("f", "r"))).alias("w"))
+            done.append(store.materialize(use(row.select(*keys, *carry, F.size("w").cast("long").alias("n_words"), F.flatten("w.ids").cast("array<int>").alias("ids"))), "part"))
+            store.release(spark)
+    store.discard(frequent)
+    store.discard(rare)
+    return reduce(DataFrame.unionByName, done)
 
 
 def encode(docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ids of every row."""
     docs, keys = rows_apart(docs, key, text)
-    return gathered(docs, pieces, keys, docs.columns[1]).select(key, "ids")
+    return gathered(docs, pieces, keys, lambda rows: rows.select(key, "ids"), docs.columns[1])
 
 
 def text_of(ids: str, pieces: Pieces) -> Column:
@@ -249,13 +273,16 @@ def digest(docs: DataFrame, model: str) -> DataFrame:
     pieces = Pieces(model)
     docs, keys = rows_apart(docs, "doc_id", "text")
     own = F.xxhash64(F.replace(F.coalesce("text", F.lit("")), F.lit(SPACE), F.lit(" ")))
-    back = gathered(docs.withColumn("text_print", own), pieces, [*keys, "text_print"]).withColumn("decoded", text_of("ids", pieces))
-    return back.select(
-        "doc_id",
-        "n_words",
-        F.size("ids").cast("long").alias("n_pieces"),
-        F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("ids_sum"),
-        F.xxhash64("ids").alias("ids_print"),
-        F.char_length("decoded").cast("long").alias("decoded_chars"),
-        (F.xxhash64("decoded") == F.col("text_print")).alias("decodes"),
-    )
+
+    def measured(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("decoded", text_of("ids", pieces)).select(
+            "doc_id",
+            "n_words",
+            F.size("ids").cast("long").alias("n_pieces"),
+            F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("ids_sum"),
+            F.xxhash64("ids").alias("ids_print"),
+            F.char_length("decoded").cast("long").alias("decoded_chars"),
+            (F.xxhash64("decoded") == F.col("text_print")).alias("decodes"),
+        )
+
+    return gathered(docs.withColumn("text_print", own), pieces, keys, measured, carry=("text_print",))
