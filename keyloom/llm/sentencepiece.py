@@ -4,8 +4,8 @@ A text becomes `▁` + text with spaces as `▁`, cut into words where no piece
 before a run of `▁`, around line breaks, and between a run of letters and a run of other characters (a character that
 some piece joins to a letter counts as a letter; the model's pieces decide). Each distinct word is encoded once: its
 substrings of bounded length are exploded and equi-joined to the piece table (its size is the model's, not the
-data's), edges are grouped by word, each as one number, and `aggregate` folds Viterbi from left to right. The
-result is the segmentation of the largest summed score; ties go to the longer last piece, then
+data's), edges are grouped by word, each as one number, and Viterbi folds them from left to right, a batch of words
+at a time. The result is the segmentation of the largest summed score; ties go to the longer last piece, then
 the smaller id. A character without a piece falls back to its UTF-8 bytes at the model's unknown
 penalty. A BPE model holds merge ranks in place of
 log-probabilities; pieces then score -log(id + 2), as Zipf's law has it, and the optimum can differ from
@@ -13,7 +13,8 @@ the library's greedy merges; it always decodes to the same text.
 
 Words meet their ids by a broadcast of the most frequent ones (at most `dictionary` words of at most `dictionary_bytes`
 bytes together, so hot words of any length are among them) and, for the others, by a shuffle join. The words of a
-text are put together where the whole text was dealt to.
+text are put together where the whole text was dealt to, a block of BLOCK_WORDS at a time, so no batch for Python
+holds more of a long text.
 
 Defined cases: null and empty texts have no words and no ids. Every row is encoded by itself, also rows that share a
 doc_id or have none; `encode` and `digest` give one row for each. Extra columns are ignored. A text of any length is
@@ -25,14 +26,20 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType, arrow_udf
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
 from keyloom.llm import store
 from keyloom.llm.tokens import resolve
+from keyloom.llm.workers import Run, frugal, give_back
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -40,6 +47,9 @@ TASK_WORDS = 20_000  # distinct words whose lattices one task folds, about
 PARTS = 2  # of the texts, dealt one after the other
 TASK_BYTES = 6 << 20  # of texts whose words one task puts together, about
 BLOCK = 64  # characters of a word that are cut out at once
+BLOCK_WORDS = 2048  # words of a text that are put together at once
+BATCH_BLOCKS = 2000  # blocks that Python gets at once
+BATCH_EDGES = 1 << 18  # of words folded at once, unless one word has more
 ID_BITS, SIZE_BITS = 24, 8  # of an edge: end, 255 - characters, id
 NO_PIECE = (1 << ID_BITS) - 1
 
@@ -72,11 +82,6 @@ class Pieces:
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(p, i) for p, i, _ in self.rows], "piece string, id int").coalesce(1)
 
-    def scores(self) -> Column:
-        """The scores by id, as a literal."""
-        by_id = {i: s for _, i, s in self.rows}
-        return F.split(F.lit(",".join(repr(by_id.get(i, self.least)) for i in range(max(by_id, default=0) + 1))), ",").cast("array<double>")
-
     def raw(self) -> Column:
         """The bytes by id, in hexadecimal digits, as a literal; none for ids that are no piece."""
         by_id = {i: p.encode().hex() for p, i, _ in self.rows} | {i: f"{b:02x}" for b, i in self.bytes.items()}
@@ -121,56 +126,116 @@ def edges(distinct: DataFrame, pieces: Pieces) -> DataFrame:
     return met.select("wid", F.shiftleft(F.col("end").cast("long"), ID_BITS + SIZE_BITS).bitwiseOR(short_last).bitwiseOR(F.coalesce("id", F.lit(NO_PIECE)).cast("long")).alias("edge"))
 
 
-def edge_end(edge: Column) -> Column:
-    return F.shiftright(edge, ID_BITS + SIZE_BITS).cast("int")
-
-
-def edge_size(edge: Column) -> Column:
-    return F.lit((1 << SIZE_BITS) - 1) - F.shiftright(edge, ID_BITS).bitwiseAND(F.lit((1 << SIZE_BITS) - 1)).cast("int")
-
-
-def edge_id(edge: Column) -> Column:
-    return edge.bitwiseAND(F.lit(NO_PIECE)).cast("int")
-
-
-def viterbi(lattice: DataFrame, pieces: Pieces) -> DataFrame:
-    """wid, path: the edges of the best path through each word, in order."""
-    by_word = lattice.groupBy("wid").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-    scores, unknown = pieces.scores(), F.lit(pieces.least - UNKNOWN_PENALTY)
-    # totals and chosen edges of the ends that are done, then the end in hand with its best so far
-    start = F.struct(F.array(F.lit(0.0)).alias("totals"), F.array(F.lit(0).cast("long")).alias("chosen"), F.lit(1).alias("end"), F.lit(float("-inf")).alias("best"), F.lit(0).cast("long").alias("edge"))
-
-    def advance(s: Column, edge: Column) -> Column:
-        end = edge_end(edge)
-        same = end == s["end"]
-        # every end has an edge, so the end before this one is in `totals` or in hand
-        total = F.coalesce(F.get(s["totals"], end - edge_size(edge)), s["best"]) + F.coalesce(F.get(scores, edge_id(edge)), unknown)
-        best = F.when(same, s["best"]).otherwise(F.lit(float("-inf")))
-        totals = F.when(same, s["totals"]).otherwise(F.concat(s["totals"], F.array(s["best"])))
-        chosen = F.when(same, s["chosen"]).otherwise(F.concat(s["chosen"], F.array(s["edge"])))
-        return F.struct(totals.alias("totals"), chosen.alias("chosen"), end.alias("end"), F.greatest(total, best).alias("best"), F.when(total > best, edge).otherwise(s["edge"]).alias("edge"))
-
-    # back from the end: the edges on the path
-    def walk(s: Column) -> Column:
-        start = F.struct(s["end"].alias("at"), F.array().cast("array<bigint>").alias("on"))
-        chosen = F.concat(s["chosen"], F.array(s["edge"]))
-        on = lambda s, edge: F.when(edge_end(edge) == s["at"], F.struct((s["at"] - edge_size(edge)).alias("at"), F.concat(s["on"], F.array(edge)).alias("on"))).otherwise(s)
-        return F.reverse(F.aggregate(F.reverse(F.slice(chosen, F.lit(2), s["end"])), start, on, lambda s: s["on"]))
-
-    return by_word.select("wid", F.aggregate("edges", start, advance, walk).alias("path"))
-
-
-def path_ids(word: Column, path: Column, pieces: Pieces) -> Column:
-    """The ids of a path: its pieces', and those of the bytes of characters without one."""
-    if pieces.bytes:
-        by_byte = F.lit([pieces.bytes.get(b, pieces.unknown) for b in range(256)])
-
-        def fallback(edge: Column) -> Column:
-            raw = F.hex(F.encode(F.substr(word, edge_end(edge), F.lit(1)), "utf-8"))
-            return F.transform(F.sequence(F.lit(1), F.char_length(raw) - 1, F.lit(2)), lambda i: F.get(by_byte, F.conv(F.substr(raw, i, F.lit(2)), 16, 10).cast("int")))
-    else:
-        fallback = lambda edge: F.array(F.lit(pieces.unknown))
-    return F.flatten(F.transform(path, lambda e: F.when(edge_id(e) == NO_PIECE, fallback(e)).otherwise(F.array(edge_id(e)))))
+def lengths(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+
+
+def starts(sizes: np.ndarray) -> np.ndarray:
+    """Where runs of these sizes begin, and the end of the last."""
+    return np.concatenate([[0], np.cumsum(sizes)])
+
+
+def fold(words: pa.Array, edges: pa.Array, scores: np.ndarray, by_byte: list[int] | None, unknown: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the best path through each word, one word after the other, and how many each has.
+
+    edges are each word's, sorted. scores are by id; the last is that of a character without a piece."""
+    per_word, edge = lengths(edges), edges.flatten().to_numpy()
+    first = starts(per_word)
+    end, size, piece = edge >> (ID_BITS + SIZE_BITS), (1 << SIZE_BITS) - 1 - ((edge >> ID_BITS) & ((1 << SIZE_BITS) - 1)), edge & NO_PIECE
+    long = end[first[1:] - 1]  # every end has an edge, so the last edge ends the word
+    base = starts(long + 1)[:-1]
+    to = np.repeat(base, per_word) + end
+    origin = to - size
+    total, chosen = np.full(int(np.sum(long + 1)), -np.inf), np.zeros(int(np.sum(long + 1)), np.int64)
+    total[base] = 0.0
+    total, chosen = total.tolist(), chosen.tolist()
+    # edges sort by their end, so what an edge begins at is done; the first of equal totals stays
+    for k, (a, b, score) in enumerate(zip(origin.tolist(), to.tolist(), scores[np.minimum(piece, len(scores) - 1)].tolist())):
+        sum_here = total[a] + score
+        if sum_here > total[b]:
+            total[b], chosen[b] = sum_here, k
+    chosen, on = np.array(chosen, np.int64), np.zeros(len(edge), np.int64)
+    at, start = base + long, base
+    while len(at):  # back from the ends, all words at once
+        k = chosen[at]
+        on[k] = 1
+        at = origin[k]
+        at, start = at[at > start], start[at > start]
+    path = np.flatnonzero(on)
+    spelt = path[piece[path] == NO_PIECE]
+    bytes_of = [[unknown]] * len(spelt)
+    if by_byte is not None:
+        of = np.searchsorted(first, spelt, side="right") - 1
+        text = dict(zip(of.tolist(), words.take(pa.array(of)).to_pylist()))
+        bytes_of = [[by_byte[b] for b in text[w][e - 1].encode()] for w, e in zip(of.tolist(), end[spelt].tolist())]
+    on[spelt] = [len(x) for x in bytes_of]
+    ids, place = np.repeat(piece[path], on[path]), starts(on)
+    for k, x in zip(spelt.tolist(), bytes_of):
+        ids[place[k] : place[k] + len(x)] = x
+    return ids, np.add.reduceat(on, first[:-1])
+
+
+def best_ids(pieces: Pieces) -> Callable[[str, str], Column]:
+    """The ids of a word from it and its sorted edges: its pieces', and those of the bytes of characters without one."""
+    by_id, unknown = {i: s for _, i, s in pieces.rows}, pieces.unknown
+    scores = np.array([by_id.get(i, pieces.least) for i in range(max(by_id, default=0) + 1)] + [pieces.least - UNKNOWN_PENALTY])
+    by_byte = [pieces.bytes.get(b, unknown) for b in range(256)] if pieces.bytes else None
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        try:
+            for words, edges in batches:
+                ids, sizes, at, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0, np.cumsum(lengths(edges))
+                while at < len(words):
+                    n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_EDGES, side="right")) - at)
+                    found = fold(words.slice(at, n), edges.slice(at, n), scores, by_byte, unknown)
+                    ids.append(found[0])
+                    sizes.append(found[1])
+                    at += n
+                yield pa.ListArray.from_arrays(pa.array(starts(np.concatenate(sizes)), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+        finally:
+            give_back()
+
+    return arrow_udf(run, "array<int>", ArrowUDFType.SCALAR_ITER)
+
+
+def put_together(frequent: pa.Table, keys: list[str]) -> Run:
+    """keys, n_words, ids of every text, from keys and b, words, rare of its blocks: their numbers, their words and the places in the text and ids of the rare ones among these. A text's blocks follow one another."""
+    known, known_ids = (frequent.column(c).combine_chunks() for c in ("word", "ids"))
+
+    def texts(of: pa.RecordBatch, sizes: list | np.ndarray, first: list | np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32()))
+        return pa.RecordBatch.from_arrays([*(of.column(k) for k in keys), pa.array(sizes, pa.int64()), lists], names=[*keys, "n_words", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_text, n_words, parts = None, 0, []  # the last text, to which more blocks may belong
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            if open_text is not None:
+                ids = np.concatenate(parts)
+                yield texts(open_text, [n_words], [0, len(ids)], ids)
+
+        for batch in batches:
+            words, rare, b = (batch.column(c) for c in ("words", "rare", "b"))
+            first, others = starts(lengths(words)), rare.flatten()
+            number = pc.fill_null(pc.index_in(words.flatten(), value_set=known), -1).to_numpy().copy()
+            at = np.repeat(first[:-1] - b.to_numpy().astype(np.int64) * BLOCK_WORDS, lengths(rare)) + pc.struct_field(others, [0]).to_numpy()
+            number[at] = len(known) + np.arange(len(others))
+            if (number < 0).any():
+                raise ValueError("a word has no ids")
+            found = pa.concat_arrays([known_ids, pc.struct_field(others, [1]).cast(known_ids.type)]).take(pa.array(number))
+            ids, edge = found.flatten().to_numpy(), starts(lengths(found))[first]
+            begun = np.flatnonzero(b.to_numpy() == 0)
+            lead = begun[0] if len(begun) else batch.num_rows
+            n_words, parts = n_words + int(first[lead]), [*parts, ids[: edge[lead]]]
+            if len(begun):
+                yield from closed()
+                last = begun[-1]
+                if len(begun) > 1:
+                    yield texts(batch.take(pa.array(begun[:-1])), np.diff(first[begun]), edge[begun] - edge[lead], ids[edge[lead] : edge[last]])
+                open_text, n_words, parts = batch.slice(last, 1), int(first[-1] - first[last]), [ids[edge[last] :]]
+        yield from closed()
+
+    return frugal(run)
 
 
 def vocabulary(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
@@ -180,8 +245,8 @@ def vocabulary(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame
     counted = store.materialize(counted.withColumn("wid", F.monotonically_increasing_id()), "words")
     # dealt out once: the grouping and the join above it keep that; a task's lattices fit in memory at any size
     dealt = counted.repartition(max(1, -(-counted.count() // TASK_WORDS)), "wid")
-    found = viterbi(edges(dealt, pieces), pieces).join(dealt, "wid")
-    found = found.select("word", "n", path_ids(F.col("word"), F.col("path"), pieces).alias("ids"))
+    by_word = edges(dealt, pieces).groupBy("wid").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    found = by_word.join(dealt, "wid").select("word", "n", best_ids(pieces)("word", "edges").alias("ids"))
     # a task has about TASK_WORDS groups, more than Spark would hold before it sorts instead
     with store.setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(4 * TASK_WORDS)):
         known = store.materialize(found, "vocabulary")
@@ -208,6 +273,16 @@ def rows_apart(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, list[st
     return store.numbered(docs.select(F.col(key), F.col(text).alias("text" if key != "text" else "_text")), F.col(key), nth), [key, nth]
 
 
+def blocks(all_words: Column, rare: Column) -> Column:
+    """A text's words in blocks, each with the rare words that lie in it; a text without words has an empty one."""
+
+    def cut(w: Column) -> Column:
+        begun = F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(BLOCK_WORDS))
+        return F.transform(begun, lambda at: F.struct(F.slice(w, at + 1, F.lit(BLOCK_WORDS)).alias("words"), F.filter(rare, lambda x: (x["pos"] >= at) & (x["pos"] < at + BLOCK_WORDS)).alias("rare")))
+
+    return F.flatten(F.transform(F.array(all_words), cut))  # in an array of one, so words are cut once
+
+
 def gathered(docs: DataFrame, pieces: Pieces, keys: list[str], use: Callable[[DataFrame], DataFrame], text: str = "text", carry: tuple[str, ...] = (), dictionary: int = 1 << 17, dictionary_bytes: int = 1 << 23) -> DataFrame:
     """use(rows) of keys, carry, n_words, ids of every row, stored; keys are a column and a number that tells rows apart, and `use` works row by row.
 
@@ -228,22 +303,22 @@ def gathered(docs: DataFrame, pieces: Pieces, keys: list[str], use: Callable[[Da
     key, nth = map(F.col, keys)
     place = store.fresh(docs.columns, "p_") + "place"
     docs = docs.withColumn(place, F.concat(F.when(key.isNull(), "n").otherwise("k"), F.coalesce(key.cast("string"), F.lit("")), F.lit("/"), nth.cast("string")))
-    at = F.struct("pos", "ids")
     missing = docs.select(place, F.posexplode(words(F.col(text), pieces)).alias("pos", "word")).join(F.broadcast(frequent.select("word")), "word", "left_anti")
     rare = store.materialize(missing.join(known.where(~is_frequent).select(*own), "word").select(place, "pos", "ids"), "rare")
     store.discard(known)
     store.release(spark)
+    kinds = StructType([docs.schema[k] for k in (*keys, *carry)]).add("n_words", LongType()).add("ids", ArrayType(IntegerType()))
+    run = put_together(frequent.toArrow(), [*keys, *carry])
     done = []
     # a task's groups are bounded by TASK_BYTES, so they need no sort
-    with store.setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(TASK_BYTES)):
+    with store.setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(TASK_BYTES)), store.setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_BLOCKS)):
         for part in range(PARTS):
             here = F.pmod(F.xxhash64(place), F.lit(PARTS)) == part
-            each = docs.where(here).repartition(tasks, place).select(place, *keys, *carry, F.posexplode_outer(words(F.col(text), pieces)).alias("pos", "word"))
-            found = each.join(F.broadcast(frequent), "word", "left").groupBy(place, *keys, *carry).agg(F.collect_list(F.when(F.col("ids").isNotNull(), at)).alias("f"))
-            others = rare.where(here).repartition(tasks, place).groupBy(place).agg(F.collect_list(at).alias("r"))
-            both = found.join(others.hint("shuffle_hash"), place, "left")
-            row = both.select(*keys, *carry, F.sort_array(F.when(F.col("r").isNull(), F.col("f")).otherwise(F.concat("f", "r"))).alias("w"))
-            done.append(store.materialize(use(row.select(*keys, *carry, F.size("w").cast("long").alias("n_words"), F.flatten("w.ids").cast("array<int>").alias("ids"))), "part"))
+            others = rare.where(here).repartition(tasks, place).groupBy(place).agg(F.collect_list(F.struct("pos", "ids")).alias("r"))
+            both = docs.where(here).repartition(tasks, place).join(others.hint("shuffle_hash"), place, "left")
+            each = both.select(*keys, *carry, F.posexplode(blocks(words(F.col(text), pieces), F.col("r"))).alias("b", "block"))
+            row = each.select(*keys, *carry, "b", "block.words", "block.rare").mapInArrow(run, kinds)
+            done.append(store.materialize(use(row), "part"))
             store.release(spark)
     store.discard(frequent)
     store.discard(rare)
