@@ -47,6 +47,7 @@ TASK_WORDS = 20_000  # distinct words whose lattices one task folds, about
 PARTS = 2  # of the texts, dealt one after the other
 TASK_BYTES = 6 << 20  # of texts whose words one task puts together, about
 BLOCK = 64  # characters of a word that are cut out at once
+HEAD = 3  # characters by which longer pieces are looked for
 BLOCK_WORDS = 2048  # words of a text that are put together at once
 BATCH_BLOCKS = 2000  # blocks that Python gets at once
 BATCH_EDGES = 1 << 18  # of words folded at once, unless one word has more
@@ -82,10 +83,18 @@ class Pieces:
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(p, i) for p, i, _ in self.rows], "piece string, id int").coalesce(1)
 
-    def raw(self) -> Column:
-        """The bytes by id, in hexadecimal digits, as a literal; none for ids that are no piece."""
-        by_id = {i: p.encode().hex() for p, i, _ in self.rows} | {i: f"{b:02x}" for b, i in self.bytes.items()}
-        return F.split(F.lit(",".join(by_id.get(i, "") for i in range(max(by_id, default=0) + 1))), ",")
+    def sizes(self, spark: SparkSession) -> DataFrame:
+        """The sizes of the pieces of HEAD characters or more that begin with a head."""
+        of: dict[str, set[int]] = {}
+        for p, _, _ in self.rows:
+            if len(p) >= HEAD:
+                of.setdefault(p[:HEAD], set()).add(len(p))
+        return spark.createDataFrame([(h, sorted(n)) for h, n in of.items()], "head string, sizes array<int>").coalesce(1)
+
+    def raw(self) -> pa.Array:
+        """The bytes by id, none for ids that are no piece and for the last."""
+        by_id = {i: p.encode() for p, i, _ in self.rows} | {i: bytes([b]) for b, i in self.bytes.items()}
+        return pa.array([by_id.get(i, b"") for i in range(max(by_id, default=0) + 2)], pa.binary())
 
 
 def is_letter(c: str) -> bool:
@@ -119,7 +128,10 @@ def edges(distinct: DataFrame, pieces: Pieces) -> DataFrame:
     blocks = blocks.select("wid", at.alias("before"), F.substr("word", at + 1, F.lit(BLOCK + pieces.longest - 1)).alias("part"))
     size = F.char_length("part")
     begun = blocks.select("wid", "before", "part", F.explode(F.sequence(F.lit(0), F.least(size, F.lit(BLOCK)) - 1)).alias("start"))
-    cut = begun.select("wid", "before", "part", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), size - F.col("start")))).alias("n"))
+    # of the long substrings only those of a size that some piece with their head has
+    headed = begun.withColumn("head", F.substr("part", F.col("start") + 1, F.lit(HEAD))).join(F.broadcast(pieces.sizes(spark)), "head", "left")
+    sizes = F.concat(F.lit(list(range(1, HEAD))), F.coalesce("sizes", F.array().cast("array<int>")))
+    cut = headed.select("wid", "before", "part", "start", F.explode(sizes).alias("n")).where(F.col("n") <= size - F.col("start"))
     cut = cut.select("wid", (F.col("before") + F.col("start") + F.col("n")).alias("end"), "n", F.substr("part", F.col("start") + 1, F.col("n")).alias("sub"))
     met = cut.join(F.broadcast(pieces.table(spark).withColumnRenamed("piece", "sub")), "sub", "left").where("id is not null or n = 1")
     short_last = F.shiftleft((F.lit((1 << SIZE_BITS) - 1) - F.col("n")).cast("long"), ID_BITS)
@@ -162,15 +174,15 @@ def fold(words: pa.Array, edges: pa.Array, scores: np.ndarray, by_byte: list[int
         at = origin[k]
         at, start = at[at > start], start[at > start]
     path = np.flatnonzero(on)
-    spelt = path[piece[path] == NO_PIECE]
-    bytes_of = [[unknown]] * len(spelt)
+    bare = path[piece[path] == NO_PIECE]
+    bytes_of = [[unknown]] * len(bare)
     if by_byte is not None:
-        of = np.searchsorted(first, spelt, side="right") - 1
+        of = np.searchsorted(first, bare, side="right") - 1
         text = dict(zip(of.tolist(), words.take(pa.array(of)).to_pylist()))
-        bytes_of = [[by_byte[b] for b in text[w][e - 1].encode()] for w, e in zip(of.tolist(), end[spelt].tolist())]
-    on[spelt] = [len(x) for x in bytes_of]
+        bytes_of = [[by_byte[b] for b in text[w][e - 1].encode()] for w, e in zip(of.tolist(), end[bare].tolist())]
+    on[bare] = [len(x) for x in bytes_of]
     ids, place = np.repeat(piece[path], on[path]), starts(on)
-    for k, x in zip(spelt.tolist(), bytes_of):
+    for k, x in zip(bare.tolist(), bytes_of):
         ids[place[k] : place[k] + len(x)] = x
     return ids, np.add.reduceat(on, first[:-1])
 
@@ -331,10 +343,29 @@ def encode(docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str = "te
     return gathered(docs, pieces, keys, lambda rows: rows.select(key, "ids"), docs.columns[1])
 
 
+def spelt(pieces: Pieces) -> Callable[[str], Column]:
+    """The bytes of lists of ids, one after the other."""
+    raw = pieces.raw()
+
+    def run(ids: pa.Array) -> pa.Array:
+        flat = pc.fill_null(ids.flatten(), -1).to_numpy()
+        if not len(flat):
+            return pa.array([b""] * len(ids), pa.binary())
+        taken = raw.take(pa.array(np.where((flat >= 0) & (flat < len(raw)), flat, len(raw) - 1)))
+        bounds = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset :][starts(lengths(ids))]
+        return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(bounds.astype(np.int32)), taken.buffers()[2]])
+
+    return arrow_udf(run, "binary", ArrowUDFType.SCALAR)
+
+
+def summed(ids: pa.Array) -> pa.Array:
+    totals = starts(ids.flatten().to_numpy())
+    return pa.array(np.diff(totals[starts(lengths(ids))]), pa.int64())
+
+
 def text_of(ids: str, pieces: Pieces) -> Column:
     """The text of a column of ids."""
-    raw = pieces.raw()
-    text = F.replace(F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(raw, i)), "")), "utf-8"), F.lit(SPACE), F.lit(" "))
+    text = F.replace(F.decode(spelt(pieces)(ids), "utf-8"), F.lit(SPACE), F.lit(" "))
     return F.coalesce(F.substr(text, F.lit(2), F.char_length(text)), F.lit(""))
 
 
@@ -350,11 +381,12 @@ def digest(docs: DataFrame, model: str) -> DataFrame:
     own = F.xxhash64(F.replace(F.coalesce("text", F.lit("")), F.lit(SPACE), F.lit(" ")))
 
     def measured(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("decoded", text_of("ids", pieces)).select(
+        both = rows.withColumns({"ids_sum": arrow_udf(summed, "long", ArrowUDFType.SCALAR)("ids"), "decoded": text_of("ids", pieces)})
+        return both.select(
             "doc_id",
             "n_words",
             F.size("ids").cast("long").alias("n_pieces"),
-            F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("ids_sum"),
+            "ids_sum",
             F.xxhash64("ids").alias("ids_print"),
             F.char_length("decoded").cast("long").alias("decoded_chars"),
             (F.xxhash64("decoded") == F.col("text_print")).alias("decodes"),

@@ -60,3 +60,19 @@ def test_neither_fold_nor_texts_go_through_word_by_word_sql(spark, pieces):
     long = next(r for r in found if r.doc_id == 1)
     space = next(i for p, i, _ in pieces.rows if p == sentencepiece.SPACE)
     assert one[-1] == space and long.n_words == 9001 and list(long.ids) == one[:-1] * 3000 + [space] and next(r.ids for r in found if r.doc_id == 2) == []
+
+
+def test_only_substrings_that_can_be_pieces_are_cut(spark, pieces):
+    """The edges are those of every substring, from fewer of them; bytes and sums are of all ids, known or not."""
+    F, words = sentencepiece.F, ["▁international", "日本語", "x" * 150, "\n", "▁▁the", "a"]
+    distinct = spark.createDataFrame(list(enumerate(words)), "wid long, word string")
+    ids = {p: i for p, i, _ in pieces.rows}
+    want = sorted((w, (i + n) << 32 | 255 - n << 24 | ids.get(x[i : i + n], sentencepiece.NO_PIECE)) for w, x in enumerate(words) for i in range(len(x)) for n in range(1, min(pieces.longest, len(x) - i) + 1) if n == 1 or x[i : i + n] in ids)
+    found = sentencepiece.edges(distinct, pieces)
+    assert sorted((r.wid, r.edge) for r in found.collect()) == want
+    assert "sizes" in found._jdf.queryExecution().analyzed().toString()
+    lists = [[ids["▁the"], 1 << 20, ids["a"]], [], [-1], [pieces.bytes[195], pieces.bytes[169], ids["▁"]], None]
+    some = spark.createDataFrame([(x,) for x in lists], "ids array<int>").coalesce(1)
+    got = some.select(sentencepiece.spelt(pieces)("ids").alias("raw"), F.array_size("ids").alias("n")).collect()
+    assert [bytes(r.raw) for r in got] == [b"\xe2\x96\x81thea", b"", b"", b"\xc3\xa9\xe2\x96\x81", b""]
+    assert sentencepiece.summed(pa.array([[1, 2], [], [1 << 30, 1 << 30, 1 << 30]], pa.list_(pa.int32()))).to_pylist() == [3, 0, 3 << 30]
