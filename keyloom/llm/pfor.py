@@ -205,7 +205,8 @@ def read_tokens(spark, path: str, digest: bool = True) -> DataFrame:
                 per = [zlib.crc32(raw[a:b]) if digest else raw[a:b].tolist() for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids.data, pa.int64(), mask=doc_ids.mask), pa.array(start + cut[:-1], pa.int64()), pa.array(lengths, pa.int64()), pa.array(per, kind)], names=["doc_id", "start", "n_tokens", name])
 
-    joined = segments.select("shard", "segment", "payload").join(starts, ["shard", "segment"]).select("start", "payload")
+    # one row for a million ids is sent to all tasks, so that payloads stay where they are read
+    joined = segments.select("shard", "segment", "payload").join(F.broadcast(starts), ["shard", "segment"]).select("start", "payload")
     return joined.mapInArrow(run, f"doc_id long, start long, n_tokens long, {name} {'long' if digest else 'array<long>'}")
 
 
@@ -214,4 +215,5 @@ def round_trip(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: in
     spark = docs.sparkSession
     path = store.new_path(spark, "tokens")
     write_tokens(docs, path, tokenizer, end_id)
+    store.release(spark)  # the texts' shuffle, before the table is read
     return read_tokens(spark, path)
