@@ -3,8 +3,8 @@
 A line's tokens are the distinct hashes of its five-word shingles (one token for a shorter
 line). Lines with equal text fall together first. Two lines of Jaccard similarity t or more
 share l tokens among their first n - ceil(t n) + l in any order of the tokens (prefix filter). First
-the order is by hash and l is 2, or all that the line must share if that is less: lines without as
-many prefix tokens that another line has too are done, which leaves few but near copies. For the
+the order is by hash and l is 4, or all that the line must share if that is less: lines without as
+many prefix tokens that another line of like size has too are done, which leaves few but near copies. For the
 lines left whole sets are made and their tokens counted over all of these; the order then is by that
 count, rarest first, and l is 1, so tokens that many lines have by chance or in a common passage make no
 pairs. Pairs have like sizes (length filter), and at their first common token enough tokens left
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from keyloom.llm import store
 
 SHINGLE = 5
-COMMON = 2  # shared prefix tokens asked of a line before its whole set is made
+COMMON = 4  # shared prefix tokens asked of a line before its whole set is made
 
 
 ODD = (" ", "\t", "\x0b", "\f", "\r")
@@ -63,14 +63,14 @@ def tokens(line: Column) -> Column:
     def of(split: Column) -> Column:
         at = F.sequence(F.lit(0), F.size(split) - SHINGLE)
         runs = F.transform(at, lambda i: F.xxhash64(*[F.get(split, i + j) for j in range(SHINGLE)]))
-        return F.when(F.size(split) >= SHINGLE, F.array_distinct(runs)).otherwise(F.array(F.xxhash64(F.concat_ws(" ", split))))
+        return F.when(F.size(split) >= SHINGLE, runs).otherwise(F.array(F.xxhash64(F.concat_ws(" ", split))))
 
-    return let(words(line), of)
+    return F.array_distinct(let(words(line), of))  # outside of let, where it is compiled
 
 
 def ordered_tokens(lines: DataFrame) -> DataFrame:
-    """The line's place, n and t: its tokens in the order of their hashes."""
-    return lines.select(*LINE, F.sort_array(tokens(F.col("line"))).alias("t")).withColumn("n", F.size("t"))
+    """The line's id, n and t: its tokens in the order of their hashes."""
+    return lines.select("id", F.sort_array(tokens(F.col("line"))).alias("t")).withColumn("n", F.size("t"))
 
 
 def least_shared(n: Column, percent: int) -> Column:
@@ -79,12 +79,15 @@ def least_shared(n: Column, percent: int) -> Column:
 
 
 def promising(lines: DataFrame, percent: int) -> DataFrame:
-    """Places of the lines that share as many tokens of a prefix as similar lines do; the prefix is longer by one for each further token."""
+    """Ids of the lines that share as many tokens of a prefix with lines of like size as similar lines do; the prefix is longer by one for each further token."""
     needed = least_shared(F.col("n"), percent)
     asked = F.least(F.lit(COMMON), needed)
-    each = ordered_tokens(lines).select(*LINE, asked.alias("asked"), F.explode(F.slice("t", F.lit(1), F.col("n") - needed + asked)).alias("token"))
+    each = ordered_tokens(lines).select("id", "n", F.explode(F.slice("t", F.lit(1), F.col("n") - needed + asked)).alias("token"))
     met = each.withColumn("held", F.count("*").over(Window.partitionBy("token"))).where("held > 1")
-    return met.groupBy(*LINE).agg(F.count("*").alias("met"), F.min("asked").alias("asked")).where("met >= asked").select(*LINE)
+    by_size = Window.partitionBy("token").orderBy("n")  # if any other line is of like size, one of the two next to this one is
+    alike_sized = (100 * F.lag("n").over(by_size) >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.lead("n").over(by_size))
+    met = met.withColumn("sized", alike_sized).where("sized")
+    return met.groupBy("id").agg(F.count("*").alias("met"), F.min("n").alias("n")).where(F.col("met") >= asked).select("id")
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -101,11 +104,11 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def similar_lines(lines: DataFrame, percent: int = 75) -> DataFrame:
-    """Places of the lines that have an earlier line as similar. lines: a stored table of places and line, without equal texts; it is deleted."""
+    """Places of the lines that have an earlier line as similar. lines: a stored table of ids, places and line, without equal texts; it is deleted."""
     spark = lines.sparkSession
     hopeful = store.materialize(promising(lines, percent), "promising")
     store.release(spark)
-    sets = store.materialize(lines.join(hopeful, LINE).select(*LINE, tokens(F.col("line")).alias("t")), "sets")
+    sets = store.materialize(lines.join(hopeful.hint("shuffle_hash"), "id").select(*LINE, tokens(F.col("line")).alias("t")), "sets")
     store.discard(lines)
     store.discard(hopeful)
     store.release(spark)
@@ -178,7 +181,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def kept_lines(docs: DataFrame, percent: int, key: str, text: str, nth: str) -> DataFrame:
     """Places of the lines with a word that stay; stored."""
     prints = [F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2")]
-    first = lines_of(docs, key, text, nth).groupBy(*prints).agg(F.min(F.struct(*LINE, "line")).alias("f")).select("f.*")
+    first = lines_of(docs, key, text, nth).groupBy(*prints).agg(F.min(F.struct(*LINE, "line")).alias("f")).select("f.*").withColumn("id", F.monotonically_increasing_id())
     first = store.materialize(first, "lines")
     store.release(docs.sparkSession)
     places = store.materialize(first.select(*LINE), "places")

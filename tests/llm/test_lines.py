@@ -61,3 +61,23 @@ def test_a_common_passage_makes_no_pairs(spark, monkeypatch):
     got = {r.doc_id: r.n_removed for r in line_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {d: int(d >= 300) for d in range(600)}
     assert sum(n for name, n in made if name in ("headed", "pairs")) <= 1800
+
+
+def test_lines_within_longer_ones_are_not_examined(spark, monkeypatch):
+    """Each short line is part of a line six times as long, so none can be similar; one near copy stays found."""
+    rows = []
+    for d in range(100):
+        short = " ".join(f"s{d}x{k}" for k in range(12))
+        rows += [(2 * d, short), (2 * d + 1, short + "".join(f" l{d}x{k}" for k in range(60)))]
+    rows.append((200, rows[7][1] + " more"))
+    made, write = {}, line_dedup.store.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup.store, "materialize", counted)
+    got = {r.doc_id: r.n_removed for r in line_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: int(d == 200) for d in range(201)}
+    assert made["promising"] <= 3
